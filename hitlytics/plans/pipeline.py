@@ -1,0 +1,82 @@
+"""One batch of queue messages into the tables."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.times import at
+from ..functions.values import is_error
+from ..operators import dedupe, envelope, rollup, runs
+from ..schema import DEFAULT_QUEUE, HIT, MAX_RETRIES
+from ..sources.tables import RUN_KEYS, HitTables
+
+
+def outcome_counts(
+    routed: DataFrame, stored: DataFrame, rejected: DataFrame | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Counters: processed, duplicates, failed, retried, dead-lettered, rejected by the roll-up."""
+    def marked(df: DataFrame, outcome: Column, ts: Column) -> DataFrame:
+        return df.select(*by, outcome.alias("outcome"), ts.alias("hit_ts"))
+
+    no_time = F.lit(None).cast("timestamp")
+    seen = marked(routed, F.col("outcome"), no_time).unionByName(
+        marked(stored, F.lit("STORED"), F.col("hit_ts")))
+    if rejected is not None:
+        seen = seen.unionByName(marked(rejected, F.lit("REJECTED"), no_time))
+
+    def of(outcome: str) -> Column:
+        return F.count_if(F.col("outcome") == outcome)
+
+    return seen.groupBy(*by).agg(
+        of("STORED").alias("processed"),
+        (of(envelope.STORE) - of("STORED")).alias("duplicates"),
+        (of(envelope.RETRY) + of(envelope.DEAD)).alias("failed"),
+        of(envelope.RETRY).alias("retried"),
+        of(envelope.DEAD).alias("dead_lettered"),
+        of("REJECTED").alias("rollup_rejected"),
+        F.max("hit_ts").alias("last_hit"))
+
+
+def ingest_batch(
+    tables: HitTables,
+    messages: DataFrame,
+    batch_id: int,
+    now_ms: int,
+    queue: str = DEFAULT_QUEUE,
+    max_retries: int = MAX_RETRIES,
+) -> None:
+    """Routes the messages once and fills every table. Running a batch again replaces its own rows.
+
+    The roll-up is folded from the hits just written, so both tables always agree.
+    """
+    now = at(now_ms)
+    routed = envelope.route(messages, max_retries).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tables.write(envelope.dead_letters(routed, queue, now), "dead_letters", batch_id)
+        tables.write(envelope.retries(routed, queue, now), "retries", batch_id)
+
+        sound = routed.where(F.col("outcome") == envelope.STORE)
+        fresh = dedupe.unseen(dedupe.first_copies(sound), tables.raw_without(batch_id), days_of=sound)
+        tables.write(
+            fresh.select(*HIT.names, now.alias("stored_at"), F.to_date("hit_ts").alias("hit_date")),
+            "api_hits", batch_id, RUN_KEYS)
+
+        stored = tables.raw_of(batch_id)
+        fitting, rejected = rollup.split_rejects(stored)
+        partials = rollup.fold(fitting).withColumns(
+            {"updated_at": now, "bucket_date": F.to_date("time_bucket")})
+        tables.write(partials, "endpoint_metrics", batch_id, RUN_KEYS)
+        tables.write(rejected, "rollup_rejects", batch_id)
+        tables.write(
+            runs.segments(stored, RUN_KEYS, ["hit_ts", "event_id"], is_error(F.col("status_code"))),
+            "failure_segments", batch_id)
+
+        stats = outcome_counts(routed, stored, rejected).withColumn(
+            "last_processed_at", F.when(F.col("processed") > 0, now))
+        tables.write(stats, "batch_stats", batch_id)
+    finally:
+        routed.unpersist()
