@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import KEY_EXPIRY_DAYS
 
 GRAINS = ("minute", "hour", "day")
+ISO_START = r"^\s*[0-9]{4}(-|$)"
 DAY_MS = 24 * 60 * 60 * 1000
 _MAX_EPOCH_MS = 8.64e15  # last instant of the date type of the message producers
 
@@ -28,7 +29,7 @@ def at(epoch_ms: int) -> Column:
 
 def instant_from_text(text: Column) -> Column:
     """ISO date or date-time; null when it is none."""
-    return F.when(text.rlike(r"^\s*[0-9]{4}-"), F.try_to_timestamp(text))
+    return F.when(text.rlike(ISO_START), F.try_to_timestamp(text))
 
 
 def instant_from_epoch_ms(ms: Column) -> Column:

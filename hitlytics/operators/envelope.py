@@ -45,16 +45,38 @@ def to_messages(hits: DataFrame, published_at: Column | None = None, attempt: in
         F.to_json(body).alias("value"), F.col("event_id").alias("message_id"), F.lit(0).alias("retry_count"))
 
 
-def json_document(text: Column) -> Column:
-    """Parsed JSON, null unless the whole text is one JSON value.
+# Event field of each hit column.
+EVENT_FIELDS = {
+    "event_id": "eventId",
+    "hit_ts": "timestamp",
+    "service_name": "serviceName",
+    "endpoint": "endpoint",
+    "method": "method",
+    "status_code": "statusCode",
+    "latency_ms": "latencyMs",
+    "client_id": "clientId",
+    "api_key_id": "apiKeyId",
+    "ip": "ip",
+    "user_agent": "userAgent",
+}
+
+# Texts of all fields come from one pass over the message. Where the JSON type matters, the field is a variant.
+_EVENT = ", ".join(f"{name}: STRING" for name in EVENT_FIELDS.values())
+_BODY = (
+    f"type VARIANT, data STRUCT<{_EVENT}>, messageId VARIANT, timestamp VARIANT, publishedAt STRING, attempt STRING, "
+    "_corrupt_record STRING")
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
+
+
+def _stands_alone(text: Column) -> Column:
+    """Whether nothing follows the first JSON value of the text.
 
-    The parser stops after the first value; text after it would have to fit both wrappers, which none can.
+    JSON readers stop after the first value. The text's own hash, appended as a second array element, is found in its
+    place only if the text is one value.
     """
-    alone = (
-        (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
-        & F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    )
-    return F.when(alone, F.try_parse_json(text))
+    mark = F.xxhash64(text).cast("string")
+    pair = F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]"))
+    return F.coalesce(F.get_json_object(pair, "$[1]") == mark, F.lit(False))
 
 
 def _part(doc: Column, path: str, as_type: str = "variant") -> Column:
@@ -94,78 +116,83 @@ def _schema_issues() -> Column:
     return F.when(top != "object", F.concat(F.lit("Expected object, received "), top)).otherwise(issues)
 
 
+def _sound() -> Column:
+    """Whether a message fits the envelope schema, from its one-pass reading."""
+    body = F.col("_body")
+
+    def absent_or(field: str, *shapes: str) -> Column:
+        return F.when(body[field].isNull(), True).otherwise(
+            F.schema_of_variant(body[field]).rlike(f"^({'|'.join(shapes)})"))
+
+    fits = (
+        F.col("_alone") & body["_corrupt_record"].isNull() & body["data"].isNotNull()
+        & (F.try_variant_get(body["type"], "$", "string") == EVENT_TYPE)
+        & absent_or("messageId", "STRING")
+        & absent_or("timestamp", "STRING", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"))
+    return F.coalesce(fits, F.lit(False))
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds `data` (variant), `publish_order` (published_at, attempt), `parse_error` and a resolved `message_id`.
+    """Adds `data` (struct of the event's texts), `publish_order` (published_at, attempt), `parse_error` and a resolved
+    `message_id`, which falls back to the body's, then to the event id.
 
-    The message id falls back to the body's, then to the event id.
+    Only messages that do not fit the schema are looked at again for the reason.
     """
-    doc, issues = F.col("_doc"), F.col("_issues")
-    documents = computed_once(messages, {"_doc": json_document(F.col("value"))})
-    shapes = computed_once(documents, {
+    value, body, doc = F.col("value"), F.col("_body"), F.col("_doc")
+    read = computed_once(messages, {"_body": F.from_json(value, _BODY, _STRICT), "_alone": _stands_alone(value)})
+    judged = computed_once(read, {"_sound": _sound()})
+    documents = computed_once(judged, {
+        "_doc": F.when(F.col("_sound"), F.lit(None)).when(F.col("_alone"), F.try_parse_json(value))})
+    kinds = computed_once(documents, {
         "_type": _part(doc, "$.type", "string"),
-        "_doc_shape": F.when(_part(doc, "$.type").isNull() | _part(doc, "$.data").isNull(), F.schema_of_variant(doc)),
-        "_type_shape": _shape(doc, "$.type"),
-        "_data_shape": _shape(doc, "$.data"),
-        "_id_shape": _shape(doc, "$.messageId"),
-        "_time_shape": _shape(doc, "$.timestamp"),
-        "_published": _part(doc, "$.publishedAt", "string"),
-        "_attempt": _part(doc, "$.attempt", "int"),
+        "_doc_kind": json_type(F.schema_of_variant(doc)),
+        "_type_kind": json_type(_shape(doc, "$.type")),
+        "_data_kind": json_type(_shape(doc, "$.data")),
+        "_id_kind": json_type(_shape(doc, "$.messageId")),
+        "_time_kind": json_type(_shape(doc, "$.timestamp")),
     })
-    kinds = computed_once(shapes, {
-        f"_{name}_kind": json_type(F.col(f"_{name}_shape")) for name in ("doc", "type", "data", "id", "time")})
-    judged = computed_once(kinds, {"_issues": _schema_issues()})
-    error = (
-        F.when(doc.isNull(), "Message parsing failed: invalid JSON")
-        .when(issues != "", F.concat(F.lit("Message parsing failed: Schema validation failed: "), issues))
-    )
-    sound = doc.isNotNull() & (issues == "")
-    body_id = F.when(F.col("_id_kind") == "string", _part(doc, "$.messageId", "string"))
-    parsed = computed_once(judged, {
+    error = F.when(~F.col("_sound"), F.when(doc.isNull(), "Message parsing failed: invalid JSON").otherwise(
+        F.concat(F.lit("Message parsing failed: Schema validation failed: "), _schema_issues())))
+    parsed = computed_once(kinds, {
         "parse_error": error,
-        "data": F.when(sound, _part(doc, "$.data")),
-        "_resolved_id": F.coalesce("message_id", body_id, F.when(sound, _part(doc, "$.data.eventId", "string"))),
+        "data": F.when(F.col("_sound"), body["data"]),
+        "_resolved_id": F.coalesce(
+            "message_id",
+            F.when(F.col("_sound"), F.coalesce(
+                F.try_variant_get(body["messageId"], "$", "string"), body["data"]["eventId"]))),
         "publish_order": F.struct(
-            times.instant_from_text(F.col("_published")).alias("published_at"), F.col("_attempt").alias("attempt")),
+            times.instant_from_text(body["publishedAt"]).alias("published_at"),
+            body["attempt"].try_cast("int").alias("attempt")),
     })
     return parsed.select(
         *[F.col("_resolved_id").alias("message_id") if c == "message_id" else F.col(c) for c in messages.columns],
         "parse_error", "data", "publish_order")
 
 
-# Event field of each hit column.
-EVENT_FIELDS = {
-    "event_id": "eventId",
-    "hit_ts": "timestamp",
-    "service_name": "serviceName",
-    "endpoint": "endpoint",
-    "method": "method",
-    "status_code": "statusCode",
-    "latency_ms": "latencyMs",
-    "client_id": "clientId",
-    "api_key_id": "apiKeyId",
-    "ip": "ip",
-    "user_agent": "userAgent",
-}
-
-
 def _typed() -> dict[str, Column]:
     """Hit columns from the event fields' texts; values that do not fit are null."""
-    data = F.col("data")
+    def field(column: str) -> Column:
+        return F.col("data")[EVENT_FIELDS[column]]
+
+    def json_shape(column: str) -> Column:
+        return _shape(F.try_parse_json("value"), f"$.data.{EVENT_FIELDS[column]}")
 
     def text(column: str) -> Column:
         # Objects and arrays come as JSON text; only a text that looks like one is asked for its type.
-        t = F.col(f"_{column}")
-        nested = t.rlike(r"^[\[{]") & _shape(data, f"$.{EVENT_FIELDS[column]}").rlike("^(OBJECT|ARRAY)<")
-        return F.when(~nested, t)
+        t = field(column)
+        looks_nested = t.startswith("{") | t.startswith("[")
+        return F.when(looks_nested, F.when(~json_shape(column).rlike("^(OBJECT|ARRAY)<"), t)).otherwise(t)
 
     def number(column: str) -> Column:
-        return F.when(F.col(f"_{column}") != "", values.to_number(F.col(f"_{column}")))
+        return F.when(field(column) != "", values.to_number(field(column)))
 
-    stamp, stamp_kind = F.col("_hit_ts"), json_type(F.col("_stamp_shape"))
+    # A text of digits is no date: epoch milliseconds must be a JSON number.
+    stamp = field("hit_ts")
+    epoch = F.when(json_shape("hit_ts") != "STRING", times.instant_from_epoch_ms(stamp.try_cast("double")))
     return {
         "event_id": text("event_id"),
-        "hit_ts": F.when(stamp_kind == "number", times.instant_from_epoch_ms(stamp.try_cast("double")))
-        .when(stamp_kind == "string", times.instant_from_text(stamp)),
+        "hit_ts": F.when(stamp.rlike(times.ISO_START), times.instant_from_text(stamp))
+        .when(stamp.rlike(r"^-?[0-9]"), epoch),
         "service_name": text("service_name"),
         "endpoint": text("endpoint"),
         "method": text("method"),
@@ -181,8 +208,9 @@ def _typed() -> dict[str, Column]:
 def _storage_problems() -> Column:
     """What keeps a typed event out of the raw table; empty when it can be stored."""
     def problem(column: str, bad: Column | None = None) -> Column:
-        name = EVENT_FIELDS[column]
-        required = F.when(values.missing(F.col(column).cast("string")), F.lit(f"{name} is required"))
+        name, c = EVENT_FIELDS[column], F.col(column)
+        absent = c.isNull() if column in ("hit_ts", "status_code", "latency_ms") else values.missing(c)
+        required = F.when(absent, F.lit(f"{name} is required"))
         return required if bad is None else required.when(bad, F.lit(f"{name} is invalid"))
 
     return F.concat_ws(
@@ -202,10 +230,7 @@ def _storage_problems() -> Column:
 
 def check_storage(parsed: DataFrame) -> DataFrame:
     """Adds the typed hit columns and `store_error` for messages that parsed."""
-    data = F.col("data")
-    texts = {f"_{column}": _part(data, f"$.{name}", "string") for column, name in EVENT_FIELDS.items()}
-    with_texts = computed_once(parsed, texts | {"_stamp_shape": _shape(data, "$.timestamp")})
-    typed = computed_once(with_texts, _typed()).drop("data", *texts, "_stamp_shape")
+    typed = computed_once(parsed, _typed()).drop("data")
     judged = computed_once(typed, {"_problems": _storage_problems()})
     broken = F.col("parse_error").isNull() & (F.col("_problems") != "")
     return judged.withColumn(
@@ -242,23 +267,17 @@ def route(messages: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
             messages = messages.withColumn(header, F.lit(None).cast("string"))
     checked = check_storage(parse(messages))
     own = F.coalesce("parse_error", "store_error")
-    used = F.when(F.col("parse_error").isNotNull(), F.lit(0)).otherwise(F.coalesce("retry_count", F.lit(0)))
-    judged = computed_once(checked, {
-        "error": F.coalesce(own, "error_message"),
-        "_failed": F.coalesce(own, "error_message", "error_code").isNotNull(),
-        "_budget": used < max_retries,
-    })
-    reported = F.when(F.coalesce("parse_error", "store_error").isNull(), F.col("error_code"))
-    outcome = (
-        F.when(~F.col("_failed"), STORE)
-        .when(F.col("_budget") & is_transient(F.col("error"), reported), RETRY)
-        .otherwise(DEAD))
-    return (
-        computed_once(judged, {"outcome": outcome})
-        .withColumn("dead_reason", F.when(
-            F.col("outcome") == DEAD, F.when(F.col("_budget"), NON_RETRYABLE).otherwise(EXHAUSTED)))
-        .drop("parse_error", "store_error", "_failed", "_budget")
-    )
+    error = F.coalesce(own, "error_message")
+    reported = F.when(own.isNull(), F.col("error_code"))
+    budget = F.when(F.col("parse_error").isNotNull(), True).otherwise(
+        F.coalesce("retry_count", F.lit(0)) < max_retries)
+    retry = budget & is_transient(error, reported)
+    sound = F.coalesce(error, reported).isNull()
+    return computed_once(checked, {
+        "error": error,
+        "outcome": F.when(sound, STORE).when(retry, RETRY).otherwise(DEAD),
+        "dead_reason": F.when(sound, None).when(retry, None).when(budget, NON_RETRYABLE).otherwise(EXHAUSTED),
+    }).drop("parse_error", "store_error")
 
 
 def dead_letters(routed: DataFrame, queue: str, now: Column) -> DataFrame:

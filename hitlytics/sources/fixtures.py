@@ -18,12 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events. Files too few to give every core a share are spread once, before the per-row work."""
+    events = table(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores) if events.rdd.getNumPartitions() < cores else events
+
+
 def _hex_id(number: Column, pad: str) -> Column:
     return F.lpad(number.cast("string"), 24, pad)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = event_table(spark, sf_dir)
     k = F.get_json_object("props", "$.k").cast("int")
     last = F.col("k") % 10
     method = (
@@ -181,7 +188,7 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*[F.lit(m).cast("string") for m, _ in FAILURES])
     codes = F.array(*[F.lit(c).cast("string") for _, c in FAILURES])
     case = (F.col("event_id") % len(FAILURES)).cast("int")
-    return table(spark, sf_dir, "events").select(
+    return event_table(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("message_id"),
         F.get(texts, case).alias("error_message"),
         F.get(codes, case).alias("error_code"),
