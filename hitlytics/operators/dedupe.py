@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import HIT
 from .lookup import one_per
 
 
 def first_copies(events: DataFrame) -> DataFrame:
-    """First copy of each event by publish time, attempt, then body."""
-    return one_per(events, ["event_id"], [F.col("publish_order"), F.col("value")])
+    """First copy of each event by publish time, attempt, then content."""
+    content = [F.col(c) for c in HIT.names if c != "event_id"]
+    return one_per(events, ["event_id"], [F.col("publish_order"), *content])
 
 
 def unseen(

@@ -68,7 +68,7 @@ BATCH_STATS = _struct(
     processed=_L, duplicates=_L, failed=_L, retried=_L, dead_lettered=_L, rollup_rejected=_L,
     last_processed_at=_TS, batch_id=_L)
 
-STORE_STATE = _struct(version=_L, compacted_through=_L, expired_before=_TS)
+STORE_STATE = _struct(version=_L, compacted_through=_L, expired_before=_L)
 
 # One maximal stretch of failures inside one chunk of a key's timeline.
 RUN_SEGMENT = _struct(

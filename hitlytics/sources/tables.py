@@ -7,11 +7,14 @@ The roll-up is the sum of the partial rows of all batches; compaction merges fin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
-from ..functions.times import at, epoch_ms
+from ..functions.times import at
 from ..operators import raw_hits, rollup, runs
 
 TABLES = {
@@ -39,11 +42,18 @@ class HitTables:
     def create(self) -> "HitTables":
         """Empty tables where there are none."""
         for name, (fields, partitions) in TABLES.items():
-            empty = self.spark.createDataFrame([], fields)
-            empty.write.mode("ignore").partitionBy(*partitions).parquet(self.path(name))
-        self.spark.createDataFrame([], schema.STORE_STATE).write.mode("ignore").json(self.path("state"))
+            self._rows(fields, 0).write.mode("ignore").partitionBy(*partitions).parquet(self.path(name))
+        self._rows(schema.STORE_STATE, 0).write.mode("ignore").json(self.path("state"))
         return self
 
+    def _rows(self, fields: T.StructType, count: int, **cells) -> DataFrame:
+        """`count` rows of the given cells, null where none is given."""
+        def cell(f: T.StructField) -> Column:
+            value = cells.get(f.name)
+            return (value if isinstance(value, Column) else F.lit(value)).cast(f.dataType).alias(f.name)
+
+        return self.spark.range(count).select(*[cell(f) for f in fields])
+
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name][0]).parquet(self.path(name))
 
@@ -66,6 +76,7 @@ class HitTables:
     # -- state -----------------------------------------------------------------------------------------------
 
     def _state(self) -> dict:
+        """Newest published state; `expired_before` in epoch milliseconds."""
         states = self.spark.read.schema(schema.STORE_STATE).json(self.path("state"))
         newest = states.orderBy(F.col("version").desc()).first()
         return newest.asDict() if newest else {"version": 0, "compacted_through": -1, "expired_before": None}
@@ -73,8 +84,7 @@ class HitTables:
     def _publish(self, **changes) -> None:
         state = self._state() | changes
         state["version"] += 1
-        row = self.spark.createDataFrame([tuple(state[n] for n in schema.STORE_STATE.names)], schema.STORE_STATE)
-        row.coalesce(1).write.mode("append").json(self.path("state"))
+        self._rows(schema.STORE_STATE, 1, **state).coalesce(1).write.mode("append").json(self.path("state"))
 
     def last_batch(self) -> int:
         newest = self._read("batch_stats").agg(F.max("batch_id").alias("n")).first()["n"]
@@ -88,9 +98,9 @@ class HitTables:
     def raw(self) -> DataFrame:
         """Stored hits inside the retention time."""
         hits, expired_before = self._counted("api_hits"), self._state()["expired_before"]
-        return hits if expired_before is None else hits.where(
-            (F.col("hit_ts") >= at(epoch_ms(expired_before)))
-            & (F.col("hit_date") >= F.to_date(at(epoch_ms(expired_before)))))
+        if expired_before is None:
+            return hits
+        return raw_hits.kept(hits, expired_before).where(F.col("hit_date") >= F.to_date(at(expired_before)))
 
     def raw_of(self, batch_id: int) -> DataFrame:
         return self._read("api_hits").where(F.col("batch_id") == batch_id)
@@ -160,10 +170,8 @@ class HitTables:
         """
         cutoff = raw_hits.cutoff_ms(now_ms, days)
         removed = raw_hits.expired_count(self.raw(), cutoff).first()["hits"]
-        first_kept = self.spark.range(1).select(at(cutoff).alias("ts"), F.to_date(at(cutoff)).cast("string").alias("day"))
-        bound = first_kept.first()
-        self._publish(expired_before=bound["ts"])
-        self._delete_days_before(bound["day"])
+        self._publish(expired_before=cutoff)
+        self._delete_days_before(datetime.fromtimestamp(cutoff / 1000, timezone.utc).date().isoformat())
         return removed
 
     def _delete_days_before(self, day: str) -> None:
