@@ -399,6 +399,9 @@ FROM triaged"""),
   count(*) FILTER (WHERE coalesce(parse_error, store_error) IS NOT NULL) AS dead_lettered,
   (SELECT max(hit_ts) FROM first_sound) AS last_hit FROM checked"""),
         "stream_ingest": with_(*sound, folded(source="first_sound", us=stored_us), select=PRESENT),
+        "upkeep": with_(*sound, select="""SELECT strftime(hit_ts, '%Y-%m-%d') AS day,
+  count(*) FILTER (WHERE hit_ts >= TIMESTAMP '2024-01-16 00:00:00') AS raw_hits, count(*) AS rollup_hits
+FROM first_sound GROUP BY 1"""),
         "failure_runs": with_(HITS, select=runs_sql(
             "client_id, service_name, endpoint", "hit_ts, event_id", "hit_ts",
             "SELECT *, status_code >= 400 AS failed FROM hits")),

@@ -16,7 +16,7 @@ from ..operators import admission, catalog, dedupe, envelope, quota, raw_hits, r
 from ..schema import HIT
 from ..session import shared_path, written
 from ..sources import fixtures as fx
-from ..sources.tables import RUN_KEYS
+from ..sources.tables import RUN_KEYS, HitTables
 from ..streaming import ingest
 from . import analytics, pipeline, scope
 
@@ -242,6 +242,19 @@ def stream_ingest(spark, sf_dir):
     return rollup.present(tables.endpoint_metrics())
 
 
+@register
+def upkeep(spark, sf_dir):
+    """All messages as one batch, then compaction and expiry: hits per day that stay, and hits in the roll-up."""
+    tables = HitTables(spark, shared_path(spark, "upkeep")).create()
+    pipeline.ingest_batch(tables, fx.envelopes(spark, sf_dir).drop("n", "attempt"), 0, NOW)
+    tables.compact()
+    tables.expire(NOW, RETENTION)
+    kept = tables.raw().groupBy(F.to_date("hit_ts").cast("string").alias("day")).agg(F.count("*").alias("raw_hits"))
+    folded = tables.rollup().groupBy(F.to_date("time_bucket").cast("string").alias("day")).agg(
+        F.sum("total_hits").alias("rollup_hits"))
+    return folded.join(kept, "day", "left").select("day", F.coalesce("raw_hits", F.lit(0)).alias("raw_hits"), "rollup_hits")
+
+
 @register
 def failure_runs(spark, sf_dir):
     hits = fx.hits(spark, sf_dir)

@@ -67,7 +67,8 @@ class HitTables:
         rows = df.withColumn(partitions[-1], F.lit(number).cast("long")).select(*fields.names)
         dates = partitions[:-1]
         if dates:
-            rows = rows.hint("rebalance", *dates).sortWithinPartitions(*dates, *(cluster_by or []))
+            # The order starts with all partition columns, so that the writer keeps it.
+            rows = rows.hint("rebalance", *dates).sortWithinPartitions(*partitions, *(cluster_by or []))
         (
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(*partitions).parquet(self.path(name))

@@ -169,6 +169,7 @@ def test_expiry_drops_raw_hits_but_not_the_rollup(spark, tables):
 
 
 def test_reports_prune_days(spark, tables):
-    ingest_all(spark, tables)
+    ingest_batch(tables, frame(spark, BATCHES[0]), 0, NOW)
     plan = plan_of(analytics.overall_stats(tables.rollup(), NOW))
-    assert "bucket_date" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    filters = [part.split("]", 1)[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert any("bucket_date" in f for f in filters)
