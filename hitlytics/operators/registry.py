@@ -88,21 +88,24 @@ def _out_of_pattern(c: str, pattern: str) -> Column:
 
 
 def _absent(c: str) -> Column:
-    return values.missing(F.col(c))
+    return values.missing(F.col(c).cast("string"))
 
 
+# Fields that must be given.
+REQUIRED = {
+    "clients": ["name", "slug", "email", "is_active", "created_by"],
+    "api_keys": ["key_id", "key_value", "client_id", "name", "created_by"],
+    "users": ["username", "email", "password"],
+}
+
 CLIENT_RULES = {
-    "name is required": lambda: _absent("name"),
     "name length must be 3 to 100": lambda: ~F.length(F.trim("name")).between(3, 100),
-    "slug is required": lambda: _absent("slug"),
     "slug has an invalid format": lambda: _out_of_pattern("slug", names.SLUG),
-    "email is required": lambda: _absent("email"),
     "description is longer than 500": lambda: _too_long("description", 500),
     "retention must be 7 to 365 days": lambda: ~F.col("retention_days").between(7, 365),
 }
 
 KEY_RULES = {
-    "name is required": lambda: _absent("name"),
     "name is longer than 100": lambda: _too_long("name", 100),
     "description is longer than 500": lambda: _too_long("description", 500),
     "environment is unknown": lambda: ~F.col("environment").isin(ENVIRONMENTS),
@@ -124,7 +127,8 @@ USER_RULES = {
 
 
 def _violations(df: DataFrame, table: str, id_column: str, rules: dict) -> DataFrame:
-    broken = F.array_compact(F.array(*[F.when(rule(), F.lit(text)) for text, rule in rules.items()]))
+    absent = [F.when(_absent(c), F.lit(f"{c} is required")) for c in REQUIRED[table] if c in df.columns]
+    broken = F.array_compact(F.array(*absent, *[F.when(rule(), F.lit(text)) for text, rule in rules.items()]))
     return df.select(
         F.lit(table).alias("table_name"), F.col(id_column).alias("row_id"), F.explode(broken).alias("rule"))
 

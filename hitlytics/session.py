@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +28,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="hitlytics-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a local session without the setting, as in tests, gets a folder of its own.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master").startswith("local"):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="hitlytics-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/hitlytics/{name}-{uuid4().hex}"
 
 

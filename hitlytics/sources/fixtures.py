@@ -32,12 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events. Files too few to give every core a share are spread once, before the per-row work."""
-    events = table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    splits = events.select("event_id")._jdf.queryExecution().toRdd().getNumPartitions()
-    return events.repartition(cores) if splits < cores else events
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads an input of fewer splits than cores, ahead of costly work per row; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.select(key)._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, key) if splits < cores else df
 
 
 def _hex_id(number: Column, pad: str) -> Column:
@@ -45,7 +44,10 @@ def _hex_id(number: Column, pad: str) -> Column:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = event_table(spark, sf_dir)
+    return _hits_of(table(spark, sf_dir, "events"))
+
+
+def _hits_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     last = F.col("k") % 10
     method = (
@@ -154,7 +156,8 @@ def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue messages with faults: broken, mistyped, incomplete, repeated and retried ones."""
-    source = hits(spark, sf_dir).withColumn("n", F.col("event_id").cast("long"))
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    source = _hits_of(events).withColumn("n", F.col("event_id").cast("long"))
     fault = F.col("n") % 50
     copies = source.withColumn("attempt", F.explode(
         F.when(fault == 7, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
@@ -203,7 +206,7 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*[F.lit(m).cast("string") for m, _ in FAILURES])
     codes = F.array(*[F.lit(c).cast("string") for _, c in FAILURES])
     case = (F.col("event_id") % len(FAILURES)).cast("int")
-    return event_table(spark, sf_dir).select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("message_id"),
         F.get(texts, case).alias("error_message"),
         F.get(codes, case).alias("error_code"),

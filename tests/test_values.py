@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hitlytics.functions import names, times, values
 from hitlytics.operators.catalog import parse_limit
+from hitlytics.session import shared_path
 
 
 def column(spark, items, fn, dtype="string"):
@@ -109,3 +110,17 @@ def test_contains_ignores_case(spark):
 
 def test_limits_fall_back():
     assert [parse_limit(v) for v in (None, "", "abc", "0", "-3", "2", "7x", 4)] == [10, 10, 10, 10, 10, 2, 7, 4]
+
+
+class Session:
+    """Stands in for a session with the given settings."""
+
+    def __init__(self, **settings):
+        self.conf = {f"spark.{k}": v for k, v in settings.items()}
+
+
+def test_shared_folder():
+    assert shared_path(Session(**{"checkpoint.dir": "hdfs:///x/"}), "t").startswith("hdfs:///x/hitlytics/t-")
+    assert shared_path(Session(master="local[2]"), "t") != shared_path(Session(master="local[2]"), "t")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(Session(master="yarn"), "t")
