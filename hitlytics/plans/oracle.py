@@ -393,7 +393,7 @@ FROM checked WHERE coalesce(parse_error, store_error) IS NOT NULL"""),
 FROM triaged"""),
         "retry_queue": with_(FAILURES, select=f"""SELECT value, message_id, retry_count + 1 AS retry_count,
   {NOW} AS retry_at, 'api_hits' AS original_queue FROM triaged WHERE transient AND retry_count < 3"""),
-        "pipeline_stats": with_(*sound, select="""SELECT (SELECT count(*) FROM first_sound) AS processed,
+        "batch_outcomes": with_(*sound, select="""SELECT (SELECT count(*) FROM first_sound) AS processed,
   count(*) FILTER (WHERE coalesce(parse_error, store_error) IS NULL) - (SELECT count(*) FROM first_sound) AS duplicates,
   count(*) FILTER (WHERE coalesce(parse_error, store_error) IS NOT NULL) AS failed, CAST(0 AS BIGINT) AS retried,
   count(*) FILTER (WHERE coalesce(parse_error, store_error) IS NOT NULL) AS dead_lettered,

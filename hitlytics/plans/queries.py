@@ -18,7 +18,7 @@ from ..session import shared_path, written
 from ..sources import fixtures as fx
 from ..sources.tables import RUN_KEYS, HitTables
 from ..streaming import ingest
-from . import analytics, pipeline, scope
+from . import analytics, batch, scope
 
 # The benchmark's events span January 2024; the start is off the hour on purpose.
 NOW = fx.NOW_MS
@@ -228,9 +228,9 @@ def retry_queue(spark, sf_dir):
 
 
 @register
-def pipeline_stats(spark, sf_dir):
+def batch_outcomes(spark, sf_dir):
     routed = written(_routed(spark, sf_dir).select(*HIT.names, "publish_order", "outcome"), "routed")
-    return pipeline.outcome_counts(routed, dedupe.first_copies(_sound(routed))).drop("rollup_rejected")
+    return batch.outcome_counts(routed, dedupe.first_copies(_sound(routed))).drop("rollup_rejected")
 
 
 @register
@@ -246,7 +246,7 @@ def stream_ingest(spark, sf_dir):
 def upkeep(spark, sf_dir):
     """All messages as one batch, then compaction and expiry: hits per day that stay, and hits in the roll-up."""
     tables = HitTables(spark, shared_path(spark, "upkeep")).create()
-    pipeline.ingest_batch(tables, fx.envelopes(spark, sf_dir).drop("n", "attempt"), 0, NOW)
+    batch.ingest_batch(tables, fx.envelopes(spark, sf_dir).drop("n", "attempt"), 0, NOW)
     tables.compact()
     tables.expire(NOW, RETENTION)
     kept = tables.raw().groupBy(F.to_date("hit_ts").cast("string").alias("day")).agg(F.count("*").alias("raw_hits"))

@@ -1,6 +1,6 @@
 """Queue messages as files: JSON lines or parquet with the `MESSAGE` columns.
 
-Any other streaming source that gives these columns can feed the pipeline in the same way.
+Any other streaming source that gives these columns can feed the tables in the same way.
 """
 
 from __future__ import annotations

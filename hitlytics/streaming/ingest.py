@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.pipeline import ingest_batch
+from ..plans.batch import ingest_batch
 from ..schema import DEFAULT_QUEUE, MAX_RETRIES
 from ..session import configure
 from ..sources import queue

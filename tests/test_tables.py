@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hitlytics.functions.times import epoch_ms
 from hitlytics.operators import rollup
 from hitlytics.plans import analytics
-from hitlytics.plans.pipeline import ingest_batch
+from hitlytics.plans.batch import ingest_batch
 from hitlytics.schema import HIT, MESSAGE, ROLLUP
 from hitlytics.session import shared_path
 from hitlytics.sources import queue
