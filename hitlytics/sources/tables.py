@@ -66,9 +66,10 @@ class HitTables:
         fields, partitions = TABLES[name]
         rows = df.withColumn(partitions[-1], F.lit(number).cast("long")).select(*fields.names)
         dates = partitions[:-1]
+        rows = rows.hint("rebalance", *dates)
         if dates:
             # The order starts with all partition columns, so that the writer keeps it.
-            rows = rows.hint("rebalance", *dates).sortWithinPartitions(*partitions, *(cluster_by or []))
+            rows = rows.sortWithinPartitions(*partitions, *(cluster_by or []))
         (
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(*partitions).parquet(self.path(name))
