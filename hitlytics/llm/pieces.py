@@ -6,18 +6,17 @@ any others: a node is a set of segmentations that share their beginning, its bou
 drawn from the Gumbel distribution of its mass below its parent's bound. Inclusion scores follow from the first value left
 out. All draws come from the row's key, so a row's samples depend on nothing else.
 
-Pieces never cross a space, a line end or a border between letters and signs, so a text's lattice is a chain of lattices
-of short units; those of a batch are built and summed at once in numpy.
+Pieces never cross a space or a line end, so a text's lattice is a chain of lattices of short units. A worker keeps those it
+has built, up to KEPT_UNITS, and builds and sums the new ones of a batch at once in numpy.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import random
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,16 @@ SAMPLES, SEED = 2, 17
 UNIT_CHARS = 256
 #: Bounds this far below the last one needed are left out: they matter with probability e^-30.
 NEGLIGIBLE = 30.0
+#: Siblings that together have less than this chance, the precision of the kept log probabilities, are not drawn.
+SURE = 1e-6
 #: Rank at which a piece's weight has fallen to half of the first one's.
 HALF_RANK = 10.0
 
-_UNITS = re.compile(rf"[ \n]?(?:\w{{1,{UNIT_CHARS}}}|[^\w \n]{{1,{UNIT_CHARS}}})|[ \n]")
+#: Units whose lattices a worker remembers.
+KEPT_UNITS = 400_000
+#: Characters below this have a table of their own in the trie.
+COMMON = 384
+
 _STEP, _ROW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -75,12 +80,29 @@ class Vocabulary:
             piece_of[node] = n
         edge = sorted((node << 21 | ord(char), child) for (node, char), child in children.items())
         self.codes = np.array([e for e, _ in edge], np.int64)
-        self.child = np.array([c for _, c in edge], np.int64)
-        self.piece = np.full(len(children) + 1, -1, np.int64)
+        self.child = np.array([c for _, c in edge], np.int32)
+        # Common characters have a table by inner node: row 0 is for nodes without children.
+        inner = np.unique(self.codes >> 21)
+        self.row = np.zeros(len(children) + 1, np.int32)
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        self.table = np.zeros((len(inner) + 1, COMMON), np.int32)
+        common = (self.codes & 0x1FFFFF) < COMMON
+        self.table[self.row[self.codes[common] >> 21], self.codes[common] & 0x1FFFFF] = self.child[common]
+        self.piece = np.full(len(children) + 1, -1, np.int32)
         self.cost = np.zeros(len(children) + 1)
         for node, n in piece_of.items():
             self.piece[node], self.cost[node] = n, math.log(weight[n] / total)
 
+    def children(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The trie nodes that characters lead to; 0 where no piece goes on."""
+        out = self.table[self.row[node], np.minimum(point, COMMON - 1)]
+        odd = np.flatnonzero(point >= COMMON - 1)
+        if len(odd):
+            code = node[odd].astype(np.int64) << 21 | point[odd]
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            out[odd] = np.where(self.codes[place] == code, self.child[place], 0)
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
         return b"".join(map(self.text.__getitem__, ids)).decode()[1:]
@@ -91,39 +113,36 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Lattices:
-    """All edges of the lattices of different units, by source position, with conditional log probabilities.
+class _Edges:
+    """The edges of new units' lattices by source position, with conditional log probabilities and cumulated chances.
 
-    Positions of a unit follow each other; `first[p]` to `first[p + 1]` are the edges of p. Edge ids from the vocabulary's
-    size on stand for a character to be spelled in bytes.
+    Positions of a unit follow each other. Edge ids from the vocabulary's size on stand for a character spelled in bytes.
     """
 
     def __init__(self, units: list[str], pieces: Vocabulary):
-        self.points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int32)
         sizes = np.array([len(u) for u in units], np.int64)
-        self.start = np.r_[0, np.cumsum(sizes)]
-        left = np.repeat(self.start[1:], sizes) - np.arange(len(self.points))
+        self.start = np.cumsum(sizes) - sizes
+        left = np.repeat(self.start + sizes, sizes) - np.arange(len(points))
         sources, lengths, ids, costs = [], [], [], []
-        at, node = np.arange(len(self.points)), np.zeros(len(self.points), np.int64)
-        spelled = np.ones(len(self.points), bool)
+        at, node = np.arange(len(points), dtype=np.int32), np.zeros(len(points), np.int32)
+        spelled = np.ones(len(points), bool)
         length = 0
         while len(at):
-            code = node << 21 | self.points[at + length]
-            place = np.minimum(np.searchsorted(pieces.codes, code), len(pieces.codes) - 1)
-            alive = pieces.codes[place] == code
-            at, node = at[alive], pieces.child[place[alive]]
+            node = pieces.children(node, points[at + length])
             length += 1
-            ends = pieces.piece[node] >= 0
+            piece = pieces.piece[node]
+            ends = np.flatnonzero((piece >= 0) & (node > 0))
             if length == 1:
                 spelled[at[ends]] = False
             sources.append(at[ends])
-            lengths.append(np.full(int(ends.sum()), length))
-            ids.append(pieces.piece[node[ends]])
+            lengths.append(np.full(len(ends), length, np.int32))
+            ids.append(piece[ends])
             costs.append(pieces.cost[node[ends]])
-            more = left[at] > length
+            more = np.flatnonzero((node > 0) & (left[at] > length))
             at, node = at[more], node[more]
         odd = np.flatnonzero(spelled)
-        point = self.points[odd]
+        point = points[odd]
         n_bytes = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
         sources.append(odd)
         lengths.append(np.ones(len(odd), np.int64))
@@ -131,166 +150,249 @@ class Lattices:
         costs.append(n_bytes * pieces.byte_cost)
         source, length = np.concatenate(sources), np.concatenate(lengths)
         order = np.argsort(source, kind="stable")
-        self.source, self.length = source[order], length[order]
+        self.source = source[order]
         self.id, cost = np.concatenate(ids)[order], np.concatenate(costs)[order]
-        self.first = np.searchsorted(self.source, np.arange(len(self.points) + 1))
-        self.target = self.source + self.length
-        ending = left[self.source] == self.length
-        mass = np.zeros(len(self.points) + 1)
+        first = np.searchsorted(self.source, np.arange(len(points) + 1))
+        self.target = self.source + length[order]
+        ending = left[self.source] == length[order]
+        mass = np.zeros(len(points) + 1)
         # Positions by what is left of their unit: all targets are summed before their sources.
         by_rest = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[by_rest], np.arange(1, int(left.max(initial=0)) + 2))
         for low, high in zip(cuts, cuts[1:]):
             p = by_rest[low:high]
-            count = self.first[p + 1] - self.first[p]
+            count = first[p + 1] - first[p]
             head = np.cumsum(count) - count
-            e = np.arange(count.sum()) - np.repeat(head, count) + np.repeat(self.first[p], count)
+            e = np.arange(count.sum()) - np.repeat(head, count) + np.repeat(first[p], count)
             value = cost[e] + np.where(ending[e], 0.0, mass[self.target[e]])
             top = np.maximum.reduceat(value, head)
             mass[p] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), head))
         self.log_p = cost + np.where(ending, 0.0, mass[self.target]) - mass[self.source]
         cumulated = np.cumsum(np.exp(self.log_p))
-        self.chance = cumulated - np.r_[0.0, cumulated][self.first[self.source]]
-        if len(self.source):
-            self.chance[self.first[1:] - 1] = 2.0  # the last edge of a position takes the rest
+        self.chance = cumulated - np.r_[0.0, cumulated][first[self.source]]
+        self.chance[first[1:] - 1] = 2.0  # the last edge of a position takes the rest
+        self.first, self.sizes = first[:-1], sizes
+
+
+class Lattices:
+    """The lattices of all units a worker remembers: edges `first[p]` to `first[p + 1]` leave position p."""
+
+    def __init__(self, pieces: Vocabulary):
+        self.pieces = pieces
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self._new: list[str] = []
+        self.start, self.end, self.first = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int32)
+        self.target, self.id = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.log_p, self.chance = np.zeros(0, np.float32), np.zeros(0, np.float32)
+
+    def numbers(self, rows: list[str | None]) -> list[list[int]]:
+        """Unit numbers of the rows; the lattices of units not met before are built."""
+        if len(self.number) > KEPT_UNITS:
+            self._clear()
+        get, add = self.number.get, self._add
+        out = [[n if (n := get(u)) is not None else add(u) for u in units_of(t)] if t is not None else [] for t in rows]
+        if self._new:
+            more, shift, edges = _Edges(self._new, self.pieces), len(self.first) - 1, len(self.target)
+            join = lambda old, new: np.concatenate([old, new.astype(old.dtype)])
+            self.start, self.end = join(self.start, more.start + shift), join(self.end, more.start + more.sizes + shift)
+            self.first = np.concatenate([self.first[:-1], (more.first + edges).astype(np.int32), [np.int32(edges + len(more.target))]])
+            self.target, self.id = join(self.target, more.target + shift), join(self.id, more.id)
+            self.log_p, self.chance = join(self.log_p, more.log_p), join(self.chance, more.chance)
+            self._new = []
+        return out
+
+    def _add(self, unit: str) -> int:
+        self.number[unit] = len(self.number)
+        self._new.append(unit[2:] if unit[:2] == "\n\n" else unit if unit[:1] == "\n" else " " + unit)
+        return len(self.number) - 1
 
     def walk(self, unit: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sampled path through each unit of a sequence: all edges in order, and where each unit's begin."""
-        at, end = self.start[unit].copy(), self.start[unit + 1]
+        at, end = self.start[unit], self.end[unit]
         active, steps = np.arange(len(unit)), []
         with np.errstate(over="ignore"):
             while len(active):
-                draw = (texts.mix(state[active] + np.uint64(len(steps) + 1) * _STEP) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-                edge = self.first[at[active]]
+                draw = (texts.mix(state + np.uint64(len(steps) + 1) * _STEP) >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24)
+                edge = self.first[at]
                 later = np.flatnonzero(draw > self.chance[edge])
                 while len(later):
                     edge[later] += 1
                     later = later[draw[later] > self.chance[edge[later]]]
                 steps.append((active, edge))
-                at[active] = self.target[edge]
-                active = active[at[active] < end[active]]
+                at = self.target[edge]
+                more = np.flatnonzero(at < end)
+                active, at, end, state = active[more], at[more], end[more], state[more]
         count = np.zeros(len(unit), np.int64)
         for chosen, _ in steps:
             count[chosen] += 1
         begin = np.r_[0, np.cumsum(count)]
-        path = np.empty(int(begin[-1]), np.int64)
+        path = np.empty(int(begin[-1]), np.int32)
         for n, (chosen, edge) in enumerate(steps):
             path[begin[chosen] + n] = edge
         return path, begin
 
 
-def _below(bound: float, location: float, noise: random.Random) -> float:
-    """A Gumbel value at `location`, given that it is below `bound`."""
-    drawn = location - math.log(-math.log(max(noise.random(), 1e-300)))
-    high, low = max(-bound, -drawn), min(-bound, -drawn)
-    return -(high + math.log1p(math.exp(low - high)))
+def units_of(text: str) -> list[str]:
+    """The keys of a text's units: a word after a space is its own, after a line end with it; longer ones are cut.
+
+    The text is taken to begin with a space. What follows a cut is marked by two line ends, which no unit has.
+    """
+    out: list[str] = []
+    for n, line in enumerate(text.split("\n")):
+        words = line.split(" ")
+        if n:
+            words[0] = "\n" + words[0]
+        out += words
+    if len(text) > UNIT_CHARS and len(max(out, key=len)) > UNIT_CHARS:
+        out = [u for w in out for u in (w[:UNIT_CHARS], *["\n\n" + w[i:i + UNIT_CHARS] for i in range(UNIT_CHARS, len(w), UNIT_CHARS)])]
+    return out
+
+
+def _uniform(key: int, stream: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        state = np.uint64(key) + np.uint64(stream) * _ROW + np.arange(1, n + 1, dtype=np.uint64) * _STEP
+        return ((texts.mix(state) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
-def _top(paths: list[tuple[np.ndarray, np.ndarray]], lattice: Lattices, units: np.ndarray, k: int, noise: random.Random) -> list[tuple[np.ndarray, float, float]]:
-    """Up to k distinct samples (edges, log probability, inclusion score) of one row.
+class _Search:
+    """The perturbed A* search of one row; `paths` are k independent walks (edges, begin of each unit's).
 
-    `paths` are k independent walks (edges, begin of each unit's): the first is the first sample, each later one gives the
-    part of a sample after the unit in which it departs from an earlier sample.
+    The first walk is the first sample. Along a sample, the siblings of each step form a node whose bound is drawn below the
+    sample's own value; the best node is opened by choosing one of its edges, which begins the next sample, and what remains
+    of it goes back. Only the k + 1 best nodes of a sample can ever be needed.
     """
-    heap: list = []
-    found: list[np.ndarray] = []
-    bound = -math.log(-math.log(max(noise.random(), 1e-300)))
 
-    def open_nodes(path: int, edges: np.ndarray, step: int, mass: float, limit: float) -> None:
-        """The siblings along a sample from a step on, as one node for each step."""
+    def __init__(self, lattice: Lattices, units: np.ndarray, paths: list[tuple[np.ndarray, np.ndarray]], key: int, k: int):
+        self.lattice, self.units, self.paths, self.key, self.k = lattice, units, paths, key, k
+        self.heap: list = []
+        #: Edges of each sample, and where its units begin among them.
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.streams = 0
+
+    def _draws(self, n: int) -> np.ndarray:
+        self.streams += 1
+        return _uniform(self.key, self.streams, n)
+
+    def _chosen(self, options: range, closed: tuple[int, ...] = ()) -> tuple[int, float]:
+        """An edge drawn by chance from those not closed, and the chance that is left without it."""
+        weights = [0.0 if e in closed else math.exp(w) for e, w in zip(options, self.lattice.log_p[options.start:options.stop].tolist())]
+        total = sum(weights)
+        rest = float(self._draws(1)[0]) * total
+        for n, w in enumerate(weights):
+            rest -= w
+            if w and rest < 0:
+                break
+        else:
+            n = max(i for i, w in enumerate(weights) if w)
+        return options[n], total - weights[n] if sum(w > 0 for w in weights) > 1 else 0.0
+
+    def _nodes(self, step: int, mass: float, limit: float) -> None:
+        """Pushes the best nodes along the newest sample from a step on; `mass` is the log probability before it."""
+        (edges, _), path, size = self.found[-1], len(self.found) - 1, 256
+        best: list = []
         while step < len(edges):
-            if step % 8 == 0 and len(heap) > k and mass + NEGLIGIBLE < -heapq.nsmallest(k + 1, heap)[-1][0]:
-                return
-            edge = int(edges[step])
-            log_p = float(lattice.log_p[edge])
-            rest = -math.expm1(log_p)
-            if rest > 1e-12 and lattice.first[lattice.source[edge] + 1] - lattice.first[lattice.source[edge]] > 1:
-                heapq.heappush(heap, (-_below(limit, mass + math.log(rest), noise), len(found), path, step, mass, (edge,)))
-            mass += log_p
-            step += 1
-
-    first = paths[0][0]
-    found.append(first)
-    open_nodes(0, first, 0, 0.0, bound)
-    while len(found) < k and heap:
-        value, _, path, step, mass, closed = heapq.heappop(heap)
-        before = found[path]
-        position = int(lattice.source[before[step]])
-        rest = [e for e in range(int(lattice.first[position]), int(lattice.first[position + 1])) if e not in closed]
-        weights = [math.exp(lattice.log_p[e]) for e in rest]
-        edge = noise.choices(rest, weights)[0]
-        if len(rest) > 1:
-            left = mass + math.log(max(sum(weights) - math.exp(lattice.log_p[edge]), 1e-300))
-            heapq.heappush(heap, (-_below(-value, left, noise), len(found), path, step, mass, (*closed, edge)))
+            part = edges[step:step + size]
+            log_p = self.lattice.log_p[part].astype(np.float64)
+            after = mass + np.cumsum(log_p)
+            with np.errstate(divide="ignore"):
+                rest = -np.expm1(log_p)
+                place = after - log_p + np.log(np.where(rest > SURE, rest, 0))
+                value = -np.logaddexp(-limit, np.log(-np.log(self._draws(len(part)))) - place)
+            top = np.argpartition(-value, self.k)[:self.k + 1] if len(value) > self.k + 1 else np.arange(len(value))
+            best += [(-float(value[n]), self.streams, path, step + n, float(after[n] - log_p[n]), (int(part[n]),)) for n in top.tolist() if value[n] > -np.inf]
+            best = sorted(best)[:self.k + 1]
+            step, mass, size = step + len(part), float(after[-1]), 2 * size
+            if len(best) > self.k and mass + NEGLIGIBLE < -best[-1][0]:
+                break
+        for node in best:
+            heapq.heappush(self.heap, node)
+
+    def _open(self) -> None:
+        """Begins a sample from the best node."""
+        lattice = self.lattice
+        value, _, path, step, mass, closed = heapq.heappop(self.heap)
+        before, begins = self.found[path]
+        position = int(np.searchsorted(lattice.first, np.int32(closed[0]), "right")) - 1
+        edge, left = self._chosen(range(int(lattice.first[position]), int(lattice.first[position + 1])), closed)
+        if left > 0:
+            bound = -np.logaddexp(value, math.log(-math.log(self._draws(1)[0])) - mass - math.log(left))
+            heapq.heappush(self.heap, (-float(bound), self.streams, path, step, mass, (*closed, edge)))
         # The rest of the unit, then the units after it from this sample's own walk.
-        unit = int(np.searchsorted(lattice.start, position, "right")) - 1
-        inside, at, end = [edge], int(lattice.target[edge]), int(lattice.start[unit + 1])
+        unit = int(np.searchsorted(begins, step, "right")) - 1
+        end = int(lattice.end[self.units[unit]])
+        inside, at = [edge], int(lattice.target[edge])
         while at < end:
-            options = range(int(lattice.first[at]), int(lattice.first[at + 1]))
-            inside.append(noise.choices(options, [math.exp(lattice.log_p[e]) for e in options])[0])
+            inside.append(self._chosen(range(int(lattice.first[at]), int(lattice.first[at + 1])))[0])
             at = int(lattice.target[inside[-1]])
-        edges, begin = paths[len(found)]
-        passed = int((lattice.target[before[:step]] == lattice.start[np.searchsorted(lattice.start, lattice.source[before[:step]], "right")]).sum())
-        new = np.concatenate([before[:step], np.array(inside, np.int64), edges[begin[passed + 1] - begin[0]:]])
-        found.append(new)
-        open_nodes(len(found) - 1, new, step + 1, mass + float(lattice.log_p[edge]), -value)
-    threshold = -heap[0][0] if heap else -math.inf
-    out = []
-    for edges in found:
-        log_p = float(lattice.log_p[edges].sum())
-        gap = log_p - threshold
-        # log(1 - exp(-exp(gap))): the chance that this one's perturbed value exceeds the threshold
-        inclusion = 0.0 if gap > 3.5 else math.log(-math.expm1(-math.exp(gap))) if gap > -30 else gap
-        out.append((edges, log_p, inclusion))
-    return out
-
-
-def units_of(text: str) -> list[str]:
-    return _UNITS.findall(" " + text)
-
-
-def _ids(lattice: Lattices, edges: np.ndarray, pieces: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of edges and how many each edge has."""
-    ids = lattice.id[edges]
+        edges, own = self.paths[len(self.found)]
+        shift = step + len(inside) - own[unit + 1]
+        self.found.append((np.concatenate([before[:step], np.array(inside, np.int32), edges[own[unit + 1]:]]),
+                           np.concatenate([begins[:unit + 1], own[unit + 1:] + shift])))
+        self._nodes(step + 1, mass + float(lattice.log_p[edge]), -value)
+
+    def run(self) -> list[tuple[np.ndarray, float, float]]:
+        """(edges, log probability, log inclusion probability) of each sample."""
+        bound = -math.log(-math.log(self._draws(1)[0]))
+        self.found.append(self.paths[0])
+        self._nodes(0, 0.0, bound)
+        while len(self.found) < self.k and self.heap:
+            self._open()
+        threshold = -self.heap[0][0] if self.heap else -math.inf
+        out = []
+        for edges, _ in self.found:
+            log_p = float(self.lattice.log_p[edges].sum(dtype=np.float64))
+            gap = log_p - threshold
+            # log(1 - exp(-exp(gap))): the chance that this one's perturbed value exceeds the threshold
+            out.append((edges, log_p, 0.0 if gap > 3.6 else math.log(-math.expm1(-math.exp(gap))) if gap > -30 else gap))
+        return out
+
+
+def _ids(lattice: Lattices, edges: np.ndarray) -> np.ndarray:
+    """Piece ids of edges, in which characters without a piece are spelled in bytes."""
+    ids, pieces = lattice.id[edges], lattice.pieces
     odd = np.flatnonzero(ids >= pieces.size)
-    count = np.ones(len(ids), np.int64)
     if not len(odd):
-        return ids, count
+        return ids
     spelled = [pieces.byte[list(chr(int(i) - pieces.size).encode())] for i in ids[odd]]
-    count[odd] = [len(s) for s in spelled]
-    out = np.repeat(ids, count)
-    begin = np.cumsum(count) - count
+    parts, at = [], 0
     for n, s in zip(odd, spelled):
-        out[begin[n]:begin[n] + len(s)] = s
-    return out, count
+        parts += [ids[at:n], s]
+        at = n + 1
+    return np.concatenate([*parts, ids[at:]])
 
 
-def sample(rows: list[str | None], keys: np.ndarray, pieces: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
+def sample(rows: list[str | None], keys: np.ndarray, lattice: Lattices, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """Per row up to k distinct segmentations: piece ids, log probability, logarithm of the inclusion probability."""
-    number: dict[str, int] = {}
-    units = [[number.setdefault(u, len(number)) for u in units_of(t)] if t is not None else [] for t in rows]
-    lattice = Lattices(list(number), pieces)
-    flat = np.array([u for row in units for u in row], np.int64)
+    units = lattice.numbers(rows)
     starts = np.r_[0, np.cumsum([len(u) for u in units])]
+    flat = np.fromiter(chain.from_iterable(units), np.int32, int(starts[-1]))
     own = np.repeat(keys, np.diff(starts))
     nth = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
     walks = []
     with np.errstate(over="ignore"):
+        keys = keys + np.uint64(seed) * _STEP
         for j in range(k):
-            state = texts.mix(own + np.uint64(seed * 1000 + j) * _ROW + nth.astype(np.uint64) * _STEP)
-            walks.append(lattice.walk(flat, state))
+            walks.append(lattice.walk(flat, texts.mix(own + np.uint64(seed * 1000 + j) * _ROW + nth.astype(np.uint64) * _STEP)))
     out = []
     for n, text in enumerate(rows):
         if text is None:
             out.append([])
             continue
         low, high = starts[n], starts[n + 1]
-        paths = [(path[begin[low]:begin[high]], begin[low:high + 1]) for path, begin in walks]
-        noise = random.Random(int(keys[n]) ^ seed)
-        out.append([(_ids(lattice, edges, pieces)[0], p, q) for edges, p, q in _top(paths, lattice, flat[low:high], k, noise)])
+        paths = [(path[begin[low]:begin[high]], begin[low:high + 1] - begin[low]) for path, begin in walks]
+        found = _Search(lattice, flat[low:high], paths, int(keys[n]), k).run()
+        out.append([(_ids(lattice, edges), p, q) for edges, p, q in found])
     return out
 
 
+@lru_cache(maxsize=2)
+def lattices(path: str) -> Lattices:
+    return Lattices(vocabulary(path))
+
+
 #: Rows whose lattices are built together.
 CHUNK_ROWS, CHUNK_CHARS = 2000, 8_000_000
 
@@ -314,12 +416,12 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     with null ids draw by text alone.
     """
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(path)
+        lattice = lattices(path)
         for batch in rows:
             column = batch.column(2).to_pylist()
             keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for low, high in _chunks(column):
-                found = sample(column[low:high], keys[low:high], pieces, k, seed)
+                found = sample(column[low:high], keys[low:high], lattice, k, seed)
                 each = [s for row in found for s in row]
                 offsets = np.r_[0, np.cumsum([len(s[0]) for s in each])].astype(np.int32)
                 ids = np.concatenate([s[0] for s in each]).astype(np.int32) if each else np.zeros(0, np.int32)
