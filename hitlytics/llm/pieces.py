@@ -174,6 +174,19 @@ class _Edges:
         self.first, self.sizes = first[:-1], sizes
 
 
+class _Numbers(dict):
+    """Numbers of units in the order they are met; new ones wait in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        self.new.append(unit[2:] if unit[:2] == "\n\n" else unit if unit[:1] == "\n" else " " + unit)
+        return number
+
+
 class Lattices:
     """The lattices of all units a worker remembers: edges `first[p]` to `first[p + 1]` leave position p."""
 
@@ -182,32 +195,27 @@ class Lattices:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self._new: list[str] = []
+        self.number = _Numbers()
         self.start, self.end, self.first = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int32)
         self.target, self.id = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.log_p, self.chance = np.zeros(0, np.float32), np.zeros(0, np.float32)
 
-    def numbers(self, rows: list[str | None]) -> list[list[int]]:
-        """Unit numbers of the rows; the lattices of units not met before are built."""
+    def numbers(self, rows: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit numbers of all rows and where each row's start; the lattices of units not met before are built."""
         if len(self.number) > KEPT_UNITS:
             self._clear()
-        get, add = self.number.get, self._add
-        out = [[n if (n := get(u)) is not None else add(u) for u in units_of(t)] if t is not None else [] for t in rows]
-        if self._new:
-            more, shift, edges = _Edges(self._new, self.pieces), len(self.first) - 1, len(self.target)
+        units = [units_of(t) if t is not None else [] for t in rows]
+        starts = np.r_[0, np.cumsum([len(u) for u in units])]
+        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int32, int(starts[-1]))
+        if self.number.new:
+            more, shift, edges = _Edges(self.number.new, self.pieces), len(self.first) - 1, len(self.target)
             join = lambda old, new: np.concatenate([old, new.astype(old.dtype)])
             self.start, self.end = join(self.start, more.start + shift), join(self.end, more.start + more.sizes + shift)
             self.first = np.concatenate([self.first[:-1], (more.first + edges).astype(np.int32), [np.int32(edges + len(more.target))]])
             self.target, self.id = join(self.target, more.target + shift), join(self.id, more.id)
             self.log_p, self.chance = join(self.log_p, more.log_p), join(self.chance, more.chance)
-            self._new = []
-        return out
-
-    def _add(self, unit: str) -> int:
-        self.number[unit] = len(self.number)
-        self._new.append(unit[2:] if unit[:2] == "\n\n" else unit if unit[:1] == "\n" else " " + unit)
-        return len(self.number) - 1
+            self.number.new = []
+        return out, starts
 
     def walk(self, unit: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sampled path through each unit of a sequence: all edges in order, and where each unit's begin."""
@@ -366,9 +374,7 @@ def _ids(lattice: Lattices, edges: np.ndarray) -> np.ndarray:
 
 def sample(rows: list[str | None], keys: np.ndarray, lattice: Lattices, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """Per row up to k distinct segmentations: piece ids, log probability, logarithm of the inclusion probability."""
-    units = lattice.numbers(rows)
-    starts = np.r_[0, np.cumsum([len(u) for u in units])]
-    flat = np.fromiter(chain.from_iterable(units), np.int32, int(starts[-1]))
+    flat, starts = lattice.numbers(rows)
     own = np.repeat(keys, np.diff(starts))
     nth = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
     walks = []
