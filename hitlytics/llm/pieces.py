@@ -37,7 +37,7 @@ SURE = 1e-6
 HALF_RANK = 10.0
 
 #: Units whose lattices a worker remembers.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 250_000
 #: Characters below this have a table of their own in the trie.
 COMMON = 384
 

@@ -81,7 +81,7 @@ def groups(prints: DataFrame) -> DataFrame:
     masks, rows = [0], prints.select("print", F.lit(0).cast("long").alias("mask"))
     settled = None
     for level in range(1, MAX_LEVELS + 1):
-        rows, masks = _deal(rows, masks), [p for m in masks for p in parts_of(m)]
+        rows, masks = _deal(rows, masks), sorted({p for m in masks for p in parts_of(m)})
         large = None
         if level < MAX_LEVELS:
             sizes = rows.groupBy("mask", "shared").count().filter(F.col("count") > GROUP_LIMIT).select("mask", "shared")
@@ -92,7 +92,8 @@ def groups(prints: DataFrame) -> DataFrame:
         settled = small if settled is None else settled.unionByName(small)
         if large is None:
             break
-        rows = texts.checkpointed(rows.join(large, ["mask", "shared"], "left_semi").select("print", "mask"))
+        # Different ways of dealing can lead to one mask.
+        rows = texts.checkpointed(rows.join(large, ["mask", "shared"], "left_semi").select("print", "mask").distinct())
     return settled
 
 
