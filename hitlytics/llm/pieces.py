@@ -37,7 +37,7 @@ SURE = 1e-6
 HALF_RANK = 10.0
 
 #: Units whose lattices a worker remembers.
-KEPT_UNITS = 250_000
+KEPT_UNITS = 150_000
 #: Characters below this have a table of their own in the trie.
 COMMON = 384
 
@@ -400,7 +400,7 @@ def lattices(path: str) -> Lattices:
 
 
 #: Rows whose lattices are built together.
-CHUNK_ROWS, CHUNK_CHARS = 2000, 8_000_000
+CHUNK_ROWS, CHUNK_CHARS = 400, 1_500_000
 
 _SAMPLES = "samples array<struct<ids:array<int>,log_probability:double,log_inclusion:double>>"
 
