@@ -9,12 +9,11 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import KEY_EXPIRY_DAYS
+from ..schema import KEY_EXPIRY_DAYS, LAST_EPOCH_MS
 
 GRAINS = ("minute", "hour", "day")
 ISO_START = r"^\s*[0-9]{4}(-|$)"
 DAY_MS = 24 * 60 * 60 * 1000
-_MAX_EPOCH_MS = 8.64e15  # last instant of the date type of the message producers
 
 
 def time_bucket(ts: Column, grain: str = "hour") -> Column:
@@ -33,7 +32,7 @@ def instant_from_text(text: Column) -> Column:
 
 
 def instant_from_epoch_ms(ms: Column) -> Column:
-    return F.when(F.abs(ms) <= _MAX_EPOCH_MS, F.timestamp_millis(ms.cast("long")))
+    return F.when(F.abs(ms) <= LAST_EPOCH_MS, F.timestamp_millis(ms.cast("long")))
 
 
 def key_expiry(expires_at: Column, created_at: Column, days: int = KEY_EXPIRY_DAYS) -> Column:

@@ -9,7 +9,7 @@ from ..schema import HTTP_METHODS, OBJECT_ID
 
 # Number texts that script-style conversion reads.
 _DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-_RADIX = {"[xX]": ("[0-9a-fA-F]{1,15}", 16), "[oO]": ("[0-7]{1,20}", 8), "[bB]": ("[01]{1,60}", 2)}
+_RADIX = {"[xX]": ("[0-9a-fA-F]", 16, 13), "[oO]": ("[0-7]", 8, 17), "[bB]": ("[01]", 2, 52)}  # digits a double holds exactly
 
 
 def missing(c: Column) -> Column:
@@ -24,21 +24,31 @@ def default_text(c: Column, fallback: str) -> Column:
 def to_number(text: Column) -> Column:
     """Number in text form under script-style rules; null when it is none.
 
-    Blank is 0; exponents, Infinity and 0x/0o/0b integers (up to 15, 20, 60 digits) are read. Give a plain column:
-    the text is looked at several times.
+    Blank is 0; exponents, Infinity and 0x/0o/0b integers of any length are read. Give a plain column: the text is
+    looked at several times.
     """
     number = (
         F.when(text.rlike(_DECIMAL), text.try_cast("double"))
         .when(text.rlike(r"^\s*$"), F.lit(0.0))
         .when(text.rlike(r"^\s*\+?Infinity\s*$"), F.lit(float("inf")))
     )
-    for letter, (digits, base) in _RADIX.items():
-        pattern = rf"^\s*0{letter}({digits})\s*$"
-        number = number.when(
-            text.rlike(pattern), F.conv(F.regexp_extract(text, pattern, 1), base, 10).cast("double"))
+    for letter, (digit, base, exact) in _RADIX.items():
+        pattern = rf"^\s*0{letter}(?={digit})0*({digit}*)\s*$"
+        number = number.when(text.rlike(pattern), _radix_value(F.regexp_extract(text, pattern, 1), base, exact))
     return number
 
 
+def _radix_value(digits: Column, base: int, exact: int) -> Column:
+    """Digits without leading zeros: two exact parts, the rest as a power; what lies below both parts cannot be seen."""
+    def part(first: int) -> Column:
+        return F.coalesce(F.conv(F.nullif(F.substring(digits, first, exact), F.lit("")), base, 10).cast("double"), F.lit(0.0))
+
+    size = F.length(digits)
+    second = F.greatest(F.least(size - exact, F.lit(exact)), F.lit(0))
+    rest = F.greatest(size - 2 * exact, F.lit(0))
+    return (part(1) * F.pow(F.lit(float(base)), second) + part(exact + 1)) * F.pow(F.lit(float(base)), rest)
+
+
 def http_method(c: Column) -> Column:
     """Upper-cased method, null when it is not one of the known seven."""
     upper = F.upper(c)

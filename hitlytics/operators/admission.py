@@ -9,7 +9,7 @@ from ..functions import times, values
 from ..functions.staging import computed_once
 from ..schema import QUOTA_REQUESTS, QUOTA_WINDOW_SECONDS
 from ..session import written
-from .lookup import lookup_join, one_per
+from .lookup import one_per
 from .quota import QUOTA_MESSAGE, flag_over_quota
 
 # Refusal texts of the service.
@@ -35,7 +35,7 @@ def key_directory(keys: DataFrame, clients: DataFrame) -> DataFrame:
         keys.where("is_active").select("key_value", "api_key_id", "client_id", "can_ingest", "expires_at"),
         ["key_value"], ["api_key_id"])
     owners = clients.select("client_id", F.lit(True).alias("_known"), F.col("is_active").alias("_client_active"))
-    return lookup_join(active, owners, ["client_id"], ["key_value"])
+    return active.join(owners, "client_id", "left")
 
 
 def check_keys(hits: DataFrame, keys: DataFrame, clients: DataFrame) -> DataFrame:
@@ -45,9 +45,7 @@ def check_keys(hits: DataFrame, keys: DataFrame, clients: DataFrame) -> DataFram
     time the hit was received.
     """
     claims = [c for c in ("client_id", "api_key_id") if c in hits.columns]
-    joined = lookup_join(
-        hits.drop(*claims), key_directory(keys, clients), ["key_value"],
-        ["event_id", "endpoint", "received_at"], sized_like=keys)
+    joined = hits.drop(*claims).join(key_directory(keys, clients), "key_value", "left")
     expired = times.is_expired(F.col("expires_at"), F.col("received_at"))
     reason = (
         F.when(values.missing(F.col("key_value")), NO_KEY)

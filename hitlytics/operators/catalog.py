@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import any_contains_ignoring_case, contains_ignoring_case
-from .lookup import lookup_join
 
 DEFAULT_LIMIT = 10
 
@@ -50,5 +49,4 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, title: str)
     """Child rows with their parent's title and the number of siblings."""
     counted = children.groupBy(key).agg(F.count("*").alias("total"))
     heads = parents.select(key, title).join(counted, key)
-    spread = [c for c in children.columns if c != key]
-    return lookup_join(children, heads, [key], spread, how="inner", sized_like=parents)
+    return children.join(heads, key)

@@ -27,8 +27,6 @@ def unseen(
     known = stored.select("event_id", "hit_date")
     if same_day:
         days = (events if days_of is None else days_of).select(F.to_date("hit_ts").alias("hit_date"))
-        # The calendar bounds what is broadcast: 3.65 million days at most, usually a handful. The broadcast
-        # prunes the partitions of the raw table.
-        days = days.where(F.col("hit_date") >= F.lit("0001-01-01").cast("date")).distinct()
-        known = known.join(F.broadcast(days), "hit_date", "left_semi")
+        # Usually a handful; broadcast by its size at run time, the list prunes the partitions of the raw table.
+        known = known.join(days.distinct(), "hit_date", "left_semi")
     return events.join(known.select("event_id"), "event_id", "left_anti")

@@ -191,7 +191,8 @@ def _typed() -> dict[str, Column]:
     epoch = F.when(json_shape("hit_ts") != "STRING", times.instant_from_epoch_ms(stamp.try_cast("double")))
     return {
         "event_id": text("event_id"),
-        "hit_ts": F.when(stamp.rlike(times.ISO_START), times.instant_from_text(stamp))
+        "hit_ts": F.when(stamp.rlike("^[0-9]{4}$"), F.coalesce(epoch, times.instant_from_text(stamp)))
+        .when(stamp.rlike(times.ISO_START), times.instant_from_text(stamp))
         .when(stamp.rlike(r"^-?[0-9]"), epoch),
         "service_name": text("service_name"),
         "endpoint": text("endpoint"),

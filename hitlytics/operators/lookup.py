@@ -1,4 +1,4 @@
-"""Many-to-one joins that stay even when one key holds most of the rows."""
+"""One row per key."""
 
 from __future__ import annotations
 
@@ -7,35 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_limit, estimated_bytes
-
-SPREAD = 32
-
 
 def one_per(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row per key. The rank filter becomes a per-task group limit ahead of the shuffle, so a
     key with any number of copies ships one row per task."""
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "left",
-    sized_like: DataFrame | None = None,
-) -> DataFrame:
-    """Joins facts with a lookup that has one row per key.
-
-    A lookup below Spark's broadcast threshold is broadcast. A larger one is copied `SPREAD` times and
-    the facts are salted by `spread_by`, so that a hot key is shared among `SPREAD` tasks. `sized_like`
-    names the frame that bounds the lookup's size when the lookup itself is a many-to-one join.
-    """
-    size = estimated_bytes(lookup if sized_like is None else sized_like)
-    if size <= broadcast_limit(facts.sparkSession):
-        return facts.join(F.broadcast(lookup), list(keys), how)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return facts.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.values import default_text
 from ..schema import QUOTA_REQUESTS, QUOTA_WINDOW_SECONDS
-from ..session import written
-from .lookup import SPREAD, lookup_join
 
 QUOTA_MESSAGE = "Too many requests, please try again later"
 
@@ -29,43 +27,33 @@ def flag_over_quota(
 
     Order is (received_at, event_id). No address is ever collected into one task:
 
-    1. requests are counted per (address, window), with map-side partial counts;
-    2. only for the windows over the limit, the time of the last allowed request is found by a top-`limit`
-       per salted slice (the per-task group limit keeps at most `limit` rows of a group) and a second
-       top-`limit` over the few survivors;
-    3. requests are compared with that cut.
+    1. requests are counted per (address, second), with map-side partial counts, and a running sum over the seconds of a
+       window, at most `window_seconds` rows, finds the second in which the limit is passed;
+    2. requests of earlier seconds are allowed, those of later ones over quota;
+    3. only the requests of that second are ranked; all others are spread over groups of their own.
     """
     eligible = F.lit(True) if eligible is None else eligible
     keyed = (
         hits.withColumn("_ip", default_text(F.col("ip"), "unknown"))
         .withColumn("_window", window_start(F.col("received_at"), window_seconds))
-        .withColumn("_eligible", eligible)
+        .withColumn("_second", F.date_trunc("second", "received_at"))
+        .withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
     )
-    group = ["_ip", "_window"]
-    counted = keyed.where("_eligible").select(*group, "received_at", "event_id")
-
-    crowded = written(
-        counted.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*group),
-        "quota-windows")
-
-    order = [F.col("received_at"), F.col("event_id")]
-    slice_ = F.pmod(F.xxhash64("event_id"), F.lit(SPREAD)).cast("int")
-    earliest = (
-        lookup_join(counted, crowded, group, ["event_id"], how="left_semi")
-        .withColumn("_slice", slice_)
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order)))
-        .where(F.col("_rank") <= limit)
+    running = Window.partitionBy("_ip", "_window").orderBy("_second").rowsBetween(Window.unboundedPreceding, 0)
+    passed = (
+        keyed.where("_eligible").groupBy("_ip", "_window", "_second").agg(F.count("*").alias("_n"))
+        .withColumn("_through", F.sum("_n").over(running))
+        .where((F.col("_through") > limit) & (F.col("_through") - F.col("_n") <= limit))
+        .select("_ip", "_window", F.col("_second").alias("_cut"), (limit - F.col("_through") + F.col("_n")).alias("_left"))
     )
-    cut = (
-        earliest.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-        .where(F.col("_rank") <= limit)
-        .where(F.col("_rank") == limit)
-        .select(*group, F.struct("received_at", "event_id").alias("_cut"))
-    )
-
-    after_cut = F.struct("received_at", "event_id") > F.col("_cut")
+    joined = keyed.join(passed, ["_ip", "_window"], "left")
+    crossing = F.col("_eligible") & F.coalesce(F.col("_second") == F.col("_cut"), F.lit(False))
+    order = [F.col("received_at"), F.col("event_id")]
+    spread = F.when(~crossing, F.xxhash64(*order))
+    rank = F.row_number().over(Window.partitionBy("_ip", "_second", "_spread").orderBy(*order))
+    over = F.when(F.col("_crossing"), rank > F.col("_left")).otherwise(
+        F.col("_eligible") & F.coalesce(F.col("_second") > F.col("_cut"), F.lit(False)))
     return (
-        lookup_join(keyed, cut, group, ["event_id"], sized_like=crowded)
-        .withColumn("over_quota", F.col("_eligible") & F.coalesce(after_cut, F.lit(False)))
-        .drop(*group, "_eligible", "_cut")
+        joined.withColumn("_crossing", crossing).withColumn("_spread", spread).withColumn("over_quota", over)
+        .drop("_ip", "_window", "_second", "_eligible", "_cut", "_left", "_crossing", "_spread")
     )

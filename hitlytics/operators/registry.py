@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import names, values
 from ..schema import CLIENT_VIEWER, ENVIRONMENTS, ROLES, SUPER_ADMIN
-from .lookup import lookup_join
 
 SECRETS = ["password", "key_value"]
 CLIENT_PAGE = 50
@@ -44,7 +43,7 @@ def keys_with_creator(keys: DataFrame, users: DataFrame) -> DataFrame:
     creators = users.select(
         F.col("user_id").alias("created_by"), F.col("username").alias("creator_name"),
         F.col("email").alias("creator_email"))
-    joined = lookup_join(public(keys), creators, ["created_by"], ["api_key_id"], sized_like=creators)
+    joined = public(keys).join(creators, "created_by", "left")
     return joined.withColumns({
         "creator_id": F.when(F.col("creator_name").isNull(), "").otherwise(F.col("created_by")),
         "creator_name": F.coalesce("creator_name", F.lit("")),
@@ -127,7 +126,8 @@ USER_RULES = {
 
 
 def _violations(df: DataFrame, table: str, id_column: str, rules: dict) -> DataFrame:
-    absent = [F.when(_absent(c), F.lit(f"{c} is required")) for c in REQUIRED[table] if c in df.columns]
+    # A column that is not there at all is absent in every row.
+    absent = [F.when(_absent(c) if c in df.columns else F.lit(True), F.lit(f"{c} is required")) for c in REQUIRED[table]]
     broken = F.array_compact(F.array(*absent, *[F.when(rule(), F.lit(text)) for text, rule in rules.items()]))
     return df.select(
         F.lit(table).alias("table_name"), F.col(id_column).alias("row_id"), F.explode(broken).alias("rule"))

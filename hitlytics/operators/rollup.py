@@ -32,8 +32,11 @@ def split_rejects(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fold(hits: DataFrame, grain: str = "hour") -> DataFrame:
-    """One partial row per key and bucket. Map-side combine absorbs hot keys."""
-    contribution = hits.select(
+    """One partial row per key and bucket. Map-side combine absorbs hot keys.
+
+    Hits that cannot enter the roll-up are left out, as `split_rejects` lists them.
+    """
+    contribution = split_rejects(hits)[0].select(
         "client_id", "service_name", "endpoint", "method",
         times.time_bucket(F.col("hit_ts"), grain).alias("time_bucket"),
         values.is_error(F.col("status_code")).cast("int").alias("_error"),

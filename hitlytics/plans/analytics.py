@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.times import TimeRange, at
-from ..operators.lookup import lookup_join
 from ..operators.rollup import totals
 from .scope import ALL_CLIENTS
 
@@ -204,4 +203,4 @@ def entitled_stats(
     per_scope = per_scope.groupBy("scope", "service_name", "endpoint").agg(*_sums())
     summary = _summary(per_scope, "scope")
     entitled = scopes.where(F.col("scope").isNotNull()).select("user_id", "scope")
-    return lookup_join(entitled, summary, ["scope"], ["user_id"]).select("user_id", "scope", *_statistics())
+    return entitled.join(summary, "scope", "left").select("user_id", "scope", *_statistics())

@@ -18,6 +18,7 @@ CLIENTS = """clients AS (
   SELECT lpad(CAST(n_nationkey AS VARCHAR), 24, '0') AS client_id, n_name AS name,
     lower(replace(n_name, ' ', '-')) AS slug, lower(n_name) || '@example.com' AS email, '' AS description,
     n_nationkey % 7 <> 6 AS is_active, CASE WHEN n_nationkey % 9 = 3 THEN 5 ELSE 30 END AS retention_days,
+    CASE WHEN n_nationkey % 8 <> 5 THEN lpad(CAST(n_nationkey AS VARCHAR), 24, 'b') END AS created_by,
     TIMESTAMP '2023-01-01 00:00:00' + INTERVAL 1 DAY * n_nationkey AS created_at
   FROM nation)"""
 
@@ -285,6 +286,7 @@ AUDIT = "\nUNION ALL\n".join([
         "slug is required": "coalesce(slug, '') = ''",
         "slug has an invalid format": "NOT regexp_matches(slug, '^[a-z0-9-]+$')",
         "email is required": "coalesce(email, '') = ''",
+        "created_by is required": "coalesce(created_by, '') = ''",
         "description is longer than 500": "length(description) > 500",
         "retention must be 7 to 365 days": "retention_days NOT BETWEEN 7 AND 365",
     }),
@@ -402,6 +404,12 @@ FROM triaged"""),
         "upkeep": with_(*sound, select="""SELECT strftime(hit_ts, '%Y-%m-%d') AS day,
   count(*) FILTER (WHERE hit_ts >= TIMESTAMP '2024-01-16 00:00:00') AS raw_hits, count(*) AS rollup_hits
 FROM first_sound GROUP BY 1"""),
+        "ingest_batches": with_(*sound, select="""SELECT strftime(hit_ts, '%Y-%m-%d') AS day,
+  count(*) FILTER (WHERE hit_ts >= TIMESTAMP '2024-01-16 00:00:00') AS raw_hits, count(*) AS rollup_hits
+FROM first_sound GROUP BY 1"""),
+        "number_texts": """SELECT CAST(event_id AS VARCHAR) AS event_id,
+  CASE WHEN event_id % 50 = 0 THEN 2305843009213693952.0 ELSE CAST(event_id AS DOUBLE) END AS number FROM events""",
+        "epoch_numbers": "SELECT CAST(event_id AS VARCHAR) AS event_id, epoch_ms(event_id % 10000) AS hit_ts FROM events",
         "failure_runs": with_(HITS, select=runs_sql(
             "client_id, service_name, endpoint", "hit_ts, event_id", "hit_ts",
             "SELECT *, status_code >= 400 AS failed FROM hits")),

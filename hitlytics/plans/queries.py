@@ -145,6 +145,32 @@ def normalise_hits(spark, sf_dir):
     return admission.normalise(checked.where(F.col("error").isNull())).drop("api_key_id")
 
 
+@register
+def number_texts(spark, sf_dir):
+    """Numbers of events written with leading zeros in several bases, and one that is too long for a whole number."""
+    n = F.col("event_id")
+    text = (
+        F.when(n % 50 == 0, "0x0001FFFFFFFFFFFFFFF")
+        .when(n % 4 == 0, F.concat(F.lit("0x"), F.lpad(F.hex(n), 40, "0")))
+        .when(n % 4 == 1, F.concat(F.lit("0b"), F.lpad(F.bin(n), 90, "0")))
+        .when(n % 4 == 2, F.concat(F.lit(" 0O"), F.conv(n.cast("string"), 10, 8), F.lit(" ")))
+        .otherwise(n.cast("string")))
+    events = fx.table(spark, sf_dir, "events").select(n.cast("string").alias("event_id"), text.alias("text"))
+    return events.select("event_id", values.to_number(F.col("text")).alias("number"))
+
+
+@register
+def epoch_numbers(spark, sf_dir):
+    """Messages whose time is a JSON number of up to four digits: milliseconds, not a year."""
+    n = F.col("event_id")
+    value = F.format_string(
+        '{"type":"API_HIT","data":{"eventId":"%d","timestamp":%d,"serviceName":"s"}}', n, n % 10000)
+    messages = fx.table(spark, sf_dir, "events").select(
+        value.alias("value"), n.cast("string").alias("message_id"), F.lit(0).alias("retry_count"),
+        F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("string").alias("error_code"))
+    return envelope.check_storage(envelope.parse(messages)).select("event_id", "hit_ts")
+
+
 @register
 def quota_flags(spark, sf_dir):
     hits = fx.hits(spark, sf_dir).select("event_id", "ip", F.col("hit_ts").alias("received_at"))
@@ -249,12 +275,47 @@ def upkeep(spark, sf_dir):
     batch.ingest_batch(tables, fx.envelopes(spark, sf_dir).drop("n", "attempt"), 0, NOW)
     tables.compact()
     tables.expire(NOW, RETENTION)
+    return _hits_by_day(tables)
+
+
+def _hits_by_day(tables: HitTables) -> DataFrame:
     kept = tables.raw().groupBy(F.to_date("hit_ts").cast("string").alias("day")).agg(F.count("*").alias("raw_hits"))
     folded = tables.rollup().groupBy(F.to_date("time_bucket").cast("string").alias("day")).agg(
         F.sum("total_hits").alias("rollup_hits"))
     return folded.join(kept, "day", "left").select("day", F.coalesce("raw_hits", F.lit(0)).alias("raw_hits"), "rollup_hits")
 
 
+class _Interrupted(HitTables):
+    """Tables whose roll-up cannot be written, as when a batch is lost half way."""
+
+    def write(self, df, name, *args):
+        if name == "endpoint_metrics":
+            raise InterruptedError(name)
+        super().write(df, name, *args)
+
+
+@register
+def ingest_batches(spark, sf_dir):
+    """Three batches with copies across them: the second fails, the third and a compaction come first, then it is run
+    again; then expiry, also with an earlier cutoff. Hits per day that stay, and hits in the roll-up."""
+    root = shared_path(spark, "batches")
+    tables = HitTables(spark, root).create()
+    messages = written(fx.envelopes(spark, sf_dir), "messages")
+    parts = [messages.where((F.col("n") + F.col("attempt")) % 3 == i).drop("n", "attempt") for i in range(3)]
+    batch.ingest_batch(tables, parts[0], 0, NOW)
+    try:
+        batch.ingest_batch(_Interrupted(spark, root), parts[1], 1, NOW)
+    except InterruptedError:
+        pass
+    batch.ingest_batch(tables, parts[2], 2, NOW)
+    tables.compact()
+    batch.ingest_batch(tables, parts[1], 1, NOW)
+    tables.compact()
+    tables.expire(NOW, RETENTION)
+    tables.expire(NOW, 2 * RETENTION)
+    return _hits_by_day(tables)
+
+
 @register
 def failure_runs(spark, sf_dir):
     hits = fx.hits(spark, sf_dir)

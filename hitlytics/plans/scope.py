@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import is_object_id, missing
-from ..operators.lookup import lookup_join
 from ..schema import SUPER_ADMIN
 
 ALL_CLIENTS = "*"
@@ -30,7 +29,7 @@ def resolve(users: DataFrame, clients: DataFrame) -> DataFrame:
     is_admin = F.col("role") == SUPER_ADMIN
     wanted = F.when(is_admin, F.nullif("requested_client_id", F.lit(""))).otherwise(F.col("client_id"))
     known = clients.select(F.col("client_id").alias("_wanted"), F.lit(True).alias("_known"))
-    joined = lookup_join(users.withColumn("_wanted", wanted), known, ["_wanted"], ["user_id"], sized_like=clients)
+    joined = users.withColumn("_wanted", wanted).join(known, "_wanted", "left")
     error = (
         F.when(is_admin & F.col("_wanted").isNull(), F.lit(None).cast("string"))
         .when(is_admin & ~is_object_id(F.col("_wanted")), BAD_CLIENT_ID)

@@ -15,6 +15,7 @@ KEY_EXPIRY_DAYS = 365
 QUOTA_REQUESTS = 1000
 QUOTA_WINDOW_SECONDS = 900
 POISON_THRESHOLD = 10
+LAST_EPOCH_MS = 8_640_000_000_000_000  # last instant of the date type of the message producers
 OBJECT_ID = "^[0-9a-fA-F]{24}$"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import cache
 from uuid import uuid4
@@ -10,13 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-# Runtime settings the results depend on (time zone, JSON duplicates: last one wins) and the features the plans
-# count on: rank filters that prune per task before the shuffle, and adaptive execution. Cluster sizing is left
-# to the deployment.
+# Runtime settings the results depend on (time zone, JSON duplicates: last one wins) and the feature the plans count on,
+# adaptive execution. Cluster sizing is left to the deployment.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
@@ -40,7 +39,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if base is None:
-        if not spark.conf.get("spark.master").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master")):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that every executor can reach")
         base = _own_folder()
     return f"{base.rstrip('/')}/hitlytics/{name}-{uuid4().hex}"
@@ -52,13 +51,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes scaled by the projected width)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

@@ -86,6 +86,7 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("description"),
         (key % 7 != 6).alias("is_active"),
         F.when(key % 9 == 3, 5).otherwise(30).alias("retention_days"),
+        F.when(key % 8 != 5, _hex_id(key, "b")).alias("created_by"),
         (F.lit("2023-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(key)).alias("created_at"))
 
 

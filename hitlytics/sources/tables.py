@@ -1,12 +1,15 @@
 """The tables of one deployment under one root folder.
 
 All are parquet, partitioned so that a batch owns its partitions: writing batch N again replaces exactly what
-it wrote before. A batch counts once its row in `batch_stats` is there; readers see counted batches only.
-The roll-up is the sum of the partial rows of all batches; compaction merges finished batches day by day.
+it wrote before. A batch counts once its row in `batch_stats` is there; readers see the set of counted batches only,
+in whatever order they finished. Batch numbers start at 0 and leave none out.
+The roll-up is the sum of the partial rows of all batches; compaction merges finished batches day by day, up to the
+first number that is still missing.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,13 +92,28 @@ class HitTables:
         self._rows(schema.STORE_STATE, 1, **state).coalesce(1).write.mode("append").json(self.path("state"))
 
     def last_batch(self) -> int:
-        newest = self._read("batch_stats").agg(F.max("batch_id").alias("n")).first()["n"]
-        return -1 if newest is None else newest
+        """The last batch up to which none is missing; -1 before the first."""
+        last = self._state()["compacted_through"]
+        for number in self._newer(last):
+            if number != last + 1:
+                break
+            last = number
+        return last
+
+    def _newer(self, through: int) -> list[int]:
+        """Counted batches after `through`: those since the last compaction, one folder name each."""
+        ids = self._read("batch_stats").where(F.col("batch_id") > through).select("batch_id").distinct()
+        return sorted(r["batch_id"] for r in ids.collect())
+
+    def _is_counted(self) -> Column:
+        """Selects the partitions of counted batches; all up to the last compaction are."""
+        through = self._state()["compacted_through"]
+        return (F.col("batch_id") <= through) | F.col("batch_id").isin(self._newer(through))
 
     # -- readers ---------------------------------------------------------------------------------------------
 
     def _counted(self, name: str) -> DataFrame:
-        return self._read(name).where(F.col("batch_id") <= self.last_batch())
+        return self._read(name).where(self._is_counted())
 
     def raw(self) -> DataFrame:
         """Stored hits inside the retention time."""
@@ -108,14 +126,13 @@ class HitTables:
         return self._read("api_hits").where(F.col("batch_id") == batch_id)
 
     def raw_without(self, batch_id: int) -> DataFrame:
-        """Hits of all other batches: what a batch compares its events with, also when it runs again."""
-        return self._read("api_hits").where(F.col("batch_id") != batch_id)
+        """Hits of all other counted batches: what a batch compares its events with, also when it runs again."""
+        return self._counted("api_hits").where(F.col("batch_id") != batch_id)
 
     def _merged_days(self, through: int) -> DataFrame:
         merged = self._read("endpoint_metrics_merged").where(F.col("version") <= through)
         newest = merged.groupBy("bucket_date").agg(F.max("version").alias("version"))
-        # One row per day of the calendar at most.
-        return merged.join(F.broadcast(newest), ["bucket_date", "version"], "left_semi")
+        return merged.join(newest, ["bucket_date", "version"], "left_semi")
 
     def rollup(self) -> DataFrame:
         """Roll-up rows, not merged across batches since the last compaction; reports add them up."""
@@ -149,15 +166,15 @@ class HitTables:
     def compact(self) -> int:
         """Merges the finished batches' roll-up rows into new versions of the days they touch.
 
-        Nothing is rewritten in place: readers switch when the new state is published. Returns the last
-        merged batch.
+        Stops at the first batch that is missing, so that one that failed and is run again still counts. Nothing is
+        rewritten in place: readers switch when the new state is published. Returns the last merged batch.
         """
         through, before = self.last_batch(), self._state()["compacted_through"]
         if through <= before:
             return before
         fresh = self._read("endpoint_metrics").where(
             (F.col("batch_id") > before) & (F.col("batch_id") <= through)).drop("batch_id")
-        touched = F.broadcast(fresh.select("bucket_date").distinct())  # days: bounded by the calendar
+        touched = fresh.select("bucket_date").distinct()
         old = self._merged_days(before).drop("version").join(touched, "bucket_date", "left_semi")
         merged = rollup.merge(fresh.unionByName(old), F.max("updated_at").alias("updated_at"))
         days = merged.withColumn("bucket_date", F.to_date("time_bucket"))
@@ -168,19 +185,24 @@ class HitTables:
     def expire(self, now_ms: int, days: int = schema.RETENTION_DAYS) -> int:
         """Removes hits older than `days`; returns how many. The roll-up is kept for ever.
 
-        Readers stop seeing them at once; whole days are also deleted from storage.
+        Readers stop seeing them at once; whole days are also deleted from storage. What has expired stays so: a call
+        with an earlier cutoff removes nothing and brings nothing back.
         """
-        cutoff = raw_hits.cutoff_ms(now_ms, days)
+        expired = self._state()["expired_before"]
+        cutoff = max(raw_hits.cutoff_ms(now_ms, days), -schema.LAST_EPOCH_MS if expired is None else expired)
         removed = raw_hits.expired_count(self.raw(), cutoff).first()["hits"]
         self._publish(expired_before=cutoff)
-        self._delete_days_before(datetime.fromtimestamp(cutoff / 1000, timezone.utc).date().isoformat())
+        day = datetime.fromtimestamp(cutoff / 1000, timezone.utc)
+        self._delete_days_before((day.year, day.month, day.day))
         return removed
 
-    def _delete_days_before(self, day: str) -> None:
+    def _delete_days_before(self, day: tuple[int, int, int]) -> None:
+        """Deletes the folders of earlier days; years may have a sign and any number of digits."""
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path("api_hits"))
         files = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         for entry in files.listStatus(folder):
             name = entry.getPath().getName()
-            if name.startswith("hit_date=") and name.removeprefix("hit_date=") < day:
+            found = re.fullmatch(r"hit_date=([+-]?[0-9]+)-([0-9]+)-([0-9]+)", name)
+            if found and tuple(map(int, found.groups())) < day:
                 files.delete(entry.getPath(), True)

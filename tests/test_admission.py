@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitlytics.operators import admission, quota
-from hitlytics.operators.lookup import lookup_join
+from hitlytics.operators.quota import flag_over_quota
 
 from helpers import at, hex_id, plan_of, rows
 
@@ -119,16 +119,22 @@ def test_quota_counts_bad_payloads_but_not_bad_keys(spark, registry):
     assert rows(admission.accepted(admitted), "event_id", "client_id") == [("3", hex_id(1))]
 
 
-def test_large_lookups_are_salted_not_broadcast(spark):
-    facts = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(300)], "id int, k string")
-    lookup = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+def test_large_lookups_are_joined_plainly(spark, registry):
+    hits = spark.createDataFrame([payload("1")], PAYLOAD)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = lookup_join(facts, lookup, ["k"], ["id"])
-        plan = plan_of(joined)
-        assert "BroadcastHashJoin" not in plan and "_salt" in plan
-        assert rows(joined, "id", "v") == [(i, 1 if i % 3 else 2) for i in range(300)]
-        assert lookup_join(facts, lookup.where("v = 1"), ["k"], ["id"], how="left_semi").count() == 200
+        plan = plan_of(admission.check_keys(hits, *registry))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in plan_of(lookup_join(facts, lookup, ["k"], ["id"], sized_like=spark.range(1)))
+    assert "BroadcastHashJoin" not in plan and "Generate" not in plan
+
+
+def test_quota_of_a_hot_address(spark):
+    """More than 100 000 requests of one address, the limit inside a crowded second."""
+    hits = spark.range(150_000).select(
+        F.format_string("%06d", "id").alias("event_id"), F.lit("1.1.1.1").alias("ip"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.floor(F.col("id") / 40_000)).alias("received_at"))
+    flagged = flag_over_quota(hits, 110_000, 900)
+    assert flagged.where("over_quota").agg(F.count("*"), F.min("event_id")).first() == (40_000, "110000")
+    assert flag_over_quota(hits, 0, 900).where("over_quota").count() == 150_000
+    assert flag_over_quota(hits, 150_000, 900).where("over_quota").count() == 0

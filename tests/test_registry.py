@@ -48,7 +48,12 @@ def test_audit_names_every_broken_rule(spark):
         select 'k2', 'n', null, 'staging', array('1.2.3.4/24', '0.0.0.0/0'), array('https://a.b'), null, array()""")
     users = spark.sql("""select 'u1' user_id, 'a!' username, 'no mail' email, 'boss' role, string(null) client_id
         union all select 'u2', 'ada.l_1', 'a@b.c', 'super_admin', null""")
-    found = registry.audit(clients, keys, users)
+    bare = registry.audit(clients, keys, users)  # columns that are not there are absent in every row
+    assert {(r["row_id"], r["rule"]) for r in bare.collect() if r["row_id"].endswith("2")} == {
+        *[("c2", f"{c} is required") for c in ("is_active", "created_by")], ("u2", "password is required"),
+        *[("k2", f"{c} is required") for c in ("key_id", "key_value", "client_id", "created_by")]}
+    given = lambda df, *columns: df.withColumns({c: F.lit("given") for c in columns})
+    found = registry.audit(given(clients, "is_active", "created_by"), given(keys, "key_id", "key_value", "client_id", "created_by"), given(users, "password"))
     assert {r["row_id"] for r in found.collect()} == {"c1", "k1", "u1"}
     assert found.groupBy("row_id").count().orderBy("row_id").collect() == [("c1", 5), ("k1", 6), ("u1", 5)]
 

@@ -168,6 +168,41 @@ def test_expiry_drops_raw_hits_but_not_the_rollup(spark, tables):
     assert min(days) == "2024-01-01"  # the whole day before is gone from storage
 
 
+def test_a_batch_that_failed_counts_when_it_is_run_again(spark, tables, monkeypatch):
+    ingest_batch(tables, frame(spark, BATCHES[0]), 0, NOW)
+    write = HitTables.write
+
+    def fail_on_rollup(self, df, name, *args):
+        if name == "endpoint_metrics":
+            raise RuntimeError("lost")
+        write(self, df, name, *args)
+
+    monkeypatch.setattr(HitTables, "write", fail_on_rollup)
+    with pytest.raises(RuntimeError):
+        ingest_batch(tables, frame(spark, BATCHES[1]), 1, NOW)
+    monkeypatch.undo()
+    ingest_batch(tables, frame(spark, BATCHES[2]), 2, NOW)
+    assert tables.compact() == 0  # not past the gap
+    shown = rows(tables.raw(), "event_id")
+    assert len(shown) == 28 and len(set(shown)) == 28  # the unfinished batch does not show
+    ingest_batch(tables, frame(spark, BATCHES[1]), 1, NOW)
+    assert tables.compact() == 2
+    hits = tables.raw().where("event_id <> 'e51'")
+    assert rows(tables.endpoint_metrics(), *ROLLUP.names) == rows(rollup.merge(rollup.fold(hits)), *ROLLUP.names)
+    assert {e for e, in rows(tables.raw(), "event_id")} == {f"e{n}" for n in [*range(45), 51, 60]}
+
+
+def test_expiry_compares_dates_and_never_goes_back(spark, tables):
+    far = [message(70, timestamp=1_704_067_200_000_000), message(71, timestamp="-62200000000000"), message(72, timestamp=-62_200_000_000_000), message(73)]
+    ingest_batch(tables, frame(spark, far), 0, NOW)
+    ingest_batch(tables, frame(spark, far), 1, NOW)
+    assert rows(tables.raw(), "event_id") == [("e70",), ("e72",), ("e73",)]  # once each; a text of digits is no time
+    assert tables.expire(NOW, 5) == 2
+    assert rows(tables.raw(), "event_id") == [("e70",)]
+    assert tables.expire(NOW, 30) == 0 and rows(tables.raw(), "event_id") == [("e70",)]
+    assert tables._read("api_hits").where("event_id = 'e70'").count() == 1  # still stored
+
+
 def test_reports_prune_days(spark, tables):
     ingest_batch(tables, frame(spark, BATCHES[0]), 0, NOW)
     plan = plan_of(analytics.overall_stats(tables.rollup(), NOW))

@@ -124,3 +124,11 @@ def test_shared_folder():
     assert shared_path(Session(master="local[2]"), "t") != shared_path(Session(master="local[2]"), "t")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_path(Session(master="yarn"), "t")
+
+
+def test_radix_texts_of_any_length(spark):
+    texts = ["0xC8", "0x00000000000000000C8", "0x1FFFFFFFFFFFFFFF", "0x0", "0x", "0b" + "1" * 100, "0o" + "7" * 40, "0x" + "f" * 300, "0xg", " 0B101 "]
+    want = [200.0, 200.0, float(0x1FFFFFFFFFFFFFFF), 0.0, None, float(2 ** 100 - 1), float(8 ** 40 - 1), float("inf"), None, 5.0]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.v for r in frame.select("i", values.to_number(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert got == want
