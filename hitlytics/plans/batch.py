@@ -56,8 +56,11 @@ def ingest_batch(
     now = at(now_ms)
     routed = envelope.route(messages, max_retries).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        tables.write(envelope.dead_letters(routed, queue, now), "dead_letters", batch_id)
-        tables.write(envelope.retries(routed, queue, now), "retries", batch_id)
+        outcomes = {r["outcome"] for r in routed.select("outcome").distinct().collect()}  # three at most
+        if envelope.DEAD in outcomes:
+            tables.write(envelope.dead_letters(routed, queue, now), "dead_letters", batch_id)
+        if envelope.RETRY in outcomes:
+            tables.write(envelope.retries(routed, queue, now), "retries", batch_id)
 
         sound = routed.where(F.col("outcome") == envelope.STORE)
         fresh = dedupe.unseen(dedupe.first_copies(sound), tables.raw_without(batch_id), days_of=sound)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..functions.times import at
+from ..functions.times import DAY_MS, at
 from ..operators import raw_hits, rollup, runs
 
 TABLES = {
@@ -198,11 +198,34 @@ class HitTables:
 
     def _delete_days_before(self, day: tuple[int, int, int]) -> None:
         """Deletes the folders of earlier days; years may have a sign and any number of digits."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path("api_hits"))
-        files = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        files, folder = self._files(self.path("api_hits"))
         for entry in files.listStatus(folder):
             name = entry.getPath().getName()
             found = re.fullmatch(r"hit_date=([+-]?[0-9]+)-([0-9]+)-([0-9]+)", name)
             if found and tuple(map(int, found.groups())) < day:
                 files.delete(entry.getPath(), True)
+
+    def _files(self, path: str) -> tuple:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+    def clean(self, now_ms: int, grace_ms: int = DAY_MS) -> int:
+        """Deletes what compaction has replaced: partial rows of merged batches and older versions of merged days.
+
+        Folders changed within the last `grace_ms` stay, for readers that began before the newest state. Returns the
+        number of folders deleted; readers of the newest state see no difference.
+        """
+        through, deleted = self._state()["compacted_through"], 0
+        for name in ("endpoint_metrics", "endpoint_metrics_merged"):
+            files, folder = self._files(self.path(name))
+            for day in files.listStatus(folder):
+                if not day.isDirectory():
+                    continue
+                parts = {int(p.getPath().getName().partition("=")[2]): p for p in files.listStatus(day.getPath())}
+                merged = [number for number in parts if number <= through]
+                if name == "endpoint_metrics_merged":  # the newest of a day is in use
+                    merged = sorted(merged)[:-1]
+                for number in merged:
+                    if parts[number].getModificationTime() <= now_ms - grace_ms:
+                        deleted += files.delete(parts[number].getPath(), True)
+        return deleted

@@ -15,6 +15,7 @@ from hitlytics.session import shared_path
 from hitlytics.sources import queue
 from hitlytics.sources.tables import HitTables
 from hitlytics.streaming import ingest
+from hitlytics.streaming.ingest import wall_clock_ms
 
 from helpers import EPOCH, at, hex_id, plan_of, rows
 
@@ -142,6 +143,11 @@ def test_compaction_keeps_the_sums(spark, tables):
     assert rows(tables.endpoint_metrics(), *ROLLUP.names) == before
     assert tables.rollup().count() == len(before) < unmerged
     assert tables.compact() == 1  # nothing new
+    stored = lambda: sum(len(tables._read(t).inputFiles()) for t in ("endpoint_metrics", "endpoint_metrics_merged"))
+    files, later = stored(), wall_clock_ms() + 86_400_000 + 1000
+    assert tables.clean(later - 86_400_000) == 0  # readers may still be on them
+    assert tables.clean(later) > 0 and stored() < files and tables.clean(later) == 0
+    assert rows(tables.endpoint_metrics(), *ROLLUP.names) == before
     ingest_batch(tables, frame(spark, BATCHES[2]), 2, NOW)
     tables.compact()
     fitting = tables.raw().where("event_id <> 'e51'")
