@@ -23,12 +23,19 @@ def brute_base(rows, held):
     return out
 
 
+def slow_share(model, pairs, before, target):
+    if model.begins[target]:
+        return model.share[-1, target]
+    size = len(model.class_of)
+    return pairs.get(before * size + target, model.share[model.bucket_of[before], target] + model.left[before, model.class_of[target]])
+
+
 def slow_score(model, ids):
     """Every position by itself, as the definition says."""
     p = model.parameters
     end = len(model.symbol) - 1
     symbols = model.symbol[[end, *ids[:-1]]]
-    total = 0.0
+    total, pairs = 0.0, dict(zip(model.pairs.tolist(), model.pair_share.tolist()))
     for at, target in enumerate(ids):
         first = max(0, at // lm.SCORED * lm.SCORED - lm.CONTEXT)
         e = p["e"][symbols[first:at + 1]].astype(float)
@@ -37,8 +44,7 @@ def slow_score(model, ids):
         h = np.maximum(a / a.sum() @ v @ p["o"] + e[-1] @ p["s"], 0)
         logits = h @ p["u"] + p["c"]
         before = end if at == 0 else ids[at - 1]
-        bucket = len(model.share) - 1 if model.begins[target] else model.bucket_of[before]
-        total += logits[model.class_of[target]] - np.log(np.exp(logits).sum()) + model.share[bucket, target]
+        total += logits[model.class_of[target]] - np.log(np.exp(logits).sum()) + slow_share(model, pairs, before, target)
     return total / math.log(10)
 
 
@@ -66,6 +72,37 @@ def test_shares_sum_to_one_in_every_class(model):
         assert np.allclose(sums[np.unique(model.class_of)], 1, atol=1e-3)
 
 
+def test_pairs_equal_counts_and_shares_after_a_subword_sum_to_one(spark, model, monkeypatch):
+    coder = lm.subwords(lm.VOCABULARY)
+    counts = Counter()
+    for _, text in odd_texts():
+        for word in lm.words_of(text):
+            found = [coder.size, *coder.split(word)]
+            counts.update(a * coder.size + b for a, b in zip(found, found[1:]))
+    for gathered in (1, lm.GATHERED):
+        monkeypatch.setattr(lm, "GATHERED", gathered)
+        assert {r.code: r.n for r in lm.pair_counts(lm.word_counts(docs(spark, odd_texts())), lm.VOCABULARY).collect()} == counts
+    pairs = dict(zip(model.pairs.tolist(), model.pair_share.tolist()))
+    assert set(pairs) == {c for c in counts if c < coder.size ** 2}
+    inner = np.flatnonzero(~model.begins)
+    for before in {c // coder.size for c in list(pairs)[:5]} | {coder.end}:
+        whole = np.array([pairs.get(before * coder.size + t, model.share[model.bucket_of[before], t] + model.left[before, model.class_of[t]])
+                          for t in range(coder.size)])
+        sums = np.bincount(model.class_of, np.exp(whole), lm.CLASSES)
+        assert np.allclose(sums[np.unique(model.class_of)], 1, atol=1e-3)
+        assert np.allclose(model.shares(np.full(len(inner), before), inner), whole[inner], atol=1e-5)
+
+
+def test_few_pairs_have_a_share_of_their_own(spark, monkeypatch):
+    words = lm.word_counts(docs(spark, odd_texts()))
+    pairs = lm.pair_counts(words, lm.VOCABULARY)
+    size = lm.subwords(lm.VOCABULARY).size
+    every = dict(zip(*(x.tolist() for x in lm.frequent_pairs(pairs, size))))
+    monkeypatch.setattr(lm, "PAIRS", 20)
+    codes, counts = lm.frequent_pairs(pairs, size)
+    assert len(codes) < 20 and dict(zip(codes.tolist(), counts.tolist())) == {c: n for c, n in every.items() if n * 20 > sum(every.values())}
+
+
 def test_training_lowers_the_loss(spark, monkeypatch):
     sample = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     words = lm.word_counts(spark.createDataFrame([(t,) for t in sample], "text string"))
