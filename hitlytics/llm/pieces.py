@@ -42,6 +42,7 @@ KEPT_UNITS = 150_000
 COMMON = 384
 
 _STEP, _ROW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_WORD, _MIXES = (1 << 64) - 1, texts.MIXES
 
 
 class Vocabulary:
@@ -265,6 +266,14 @@ def _uniform(key: int, stream: int, n: int) -> np.ndarray:
         return ((texts.mix(state) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
+def _one_uniform(key: int, stream: int) -> float:
+    """The first of `_uniform`, in plain integers: numpy takes far longer for a single number."""
+    x = key + stream * int(_ROW) + int(_STEP) & _WORD
+    x = (x ^ x >> 30) * _MIXES[0] & _WORD
+    x = (x ^ x >> 27) * _MIXES[1] & _WORD
+    return ((x ^ x >> 31) >> 11) * 2.0 ** -53 + 2.0 ** -54
+
+
 class _Search:
     """The perturbed A* search of one row; `paths` are k independent walks (edges, begin of each unit's).
 
@@ -284,11 +293,15 @@ class _Search:
         self.streams += 1
         return _uniform(self.key, self.streams, n)
 
+    def _draw(self) -> float:
+        self.streams += 1
+        return _one_uniform(self.key, self.streams)
+
     def _chosen(self, options: range, closed: tuple[int, ...] = ()) -> tuple[int, float]:
         """An edge drawn by chance from those not closed, and the chance that is left without it."""
         weights = [0.0 if e in closed else math.exp(w) for e, w in zip(options, self.lattice.log_p[options.start:options.stop].tolist())]
         total = sum(weights)
-        rest = float(self._draws(1)[0]) * total
+        rest = self._draw() * total
         for n, w in enumerate(weights):
             rest -= w
             if w and rest < 0:
@@ -326,7 +339,7 @@ class _Search:
         position = int(np.searchsorted(lattice.first, np.int32(closed[0]), "right")) - 1
         edge, left = self._chosen(range(int(lattice.first[position]), int(lattice.first[position + 1])), closed)
         if left > 0:
-            bound = -np.logaddexp(value, math.log(-math.log(self._draws(1)[0])) - mass - math.log(left))
+            bound = -np.logaddexp(value, math.log(-math.log(self._draw())) - mass - math.log(left))
             heapq.heappush(self.heap, (-float(bound), self.streams, path, step, mass, (*closed, edge)))
         # The rest of the unit, then the units after it from this sample's own walk.
         unit = int(np.searchsorted(begins, step, "right")) - 1
@@ -343,7 +356,7 @@ class _Search:
 
     def run(self) -> list[tuple[np.ndarray, float, float]]:
         """(edges, log probability, log inclusion probability) of each sample."""
-        bound = -math.log(-math.log(self._draws(1)[0]))
+        bound = -math.log(-math.log(self._draw()))
         self.found.append(self.paths[0])
         self._nodes(0, 0.0, bound)
         while len(self.found) < self.k and self.heap:

@@ -17,7 +17,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 _BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+MIXES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_M1, _M2 = map(np.uint64, MIXES)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
