@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,12 +157,19 @@ def removed(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     """`docs` without its contaminated documents or, with `spans`, with all hit passages cut out of the texts.
 
     Rows that share an id are one document here: it goes if any of its rows is contaminated. A null id always stays.
+    Passages are cut out of each row's own text, whatever its id; null texts stay null.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     if not spans:
-        bad = scan(docs, items, id_column, text_column).filter(contaminated()).select(F.col("id").alias("__bad")).distinct()
+        bad = scan(rows, items, "id", "text").filter(contaminated()).select(F.col("id").alias("__bad")).distinct()
         return docs.join(bad, docs[id_column] == bad["__bad"], "left_anti")
-    hits = scan(rows, items, "id", "text").filter(F.size("spans") > 0).groupBy(F.col("id").alias("__id")).agg(F.max("spans").alias("__spans"))
-    cut = F.udf(lambda text, found: without_spans(text, [tuple(s) for s in found or []]), "string")
-    joined = docs.join(hits, docs[id_column] == hits["__id"], "left")
-    return joined.withColumn(text_column, F.when(F.col("__spans").isNull(), F.col(text_column)).otherwise(cut(text_column, "__spans"))).select(*docs.columns)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([without_spans(t, list(zip(a, z))) for t, a, z in zip(text, first, last)], dtype=object)
+
+    # The whole row stands for its id, so that nothing is joined back; fields are named by place, whatever the columns are called.
+    whole = F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(docs.columns)])
+    found = scan(docs.select(whole.alias("id"), F.col(text_column).alias("text")), items, "id", "text")
+    own = [F.col(f"id.c{i}") for i in range(len(docs.columns))]
+    return found.select(*[(cut(c, "spans.first", "spans.last") if n == text_column else c).alias(n) for n, c in zip(docs.columns, own)])

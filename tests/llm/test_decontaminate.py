@@ -57,6 +57,17 @@ def test_removal_of_documents_and_of_spans(corpus):
     assert cut[40].startswith("so a ") and "tem" not in cut[40]
 
 
+def test_rows_of_one_id_are_cut_one_by_one(spark, corpus):
+    _, bench, _, items = corpus
+    texts = ["before " + items[0][1] + " after", "clean", items[1][1], None, ""]
+    table = spark.createDataFrame([(7, t, "x", 1, [n]) for n, t in enumerate(texts)], "doc_id long, text string, spans string, `id.c0` int, items array<int>")
+    left = decontaminate.removed(table, bench, spans=True)
+    assert left.columns == table.columns and left.dtypes == table.dtypes
+    assert {r["items"][0]: r["text"].split() if r["text"] else r["text"] for r in left.collect()} == {
+        0: ["before", "after"], 1: ["clean"], 2: "", 3: None, 4: ""}
+    assert {tuple(r)[2:4] for r in left.collect()} == {("x", 1)}
+
+
 def test_empty_tables(spark, corpus):
     table, bench, texts, _ = corpus
     assert decontaminate.scan(docs(spark, []), bench).count() == 0
