@@ -60,11 +60,11 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         bucket, starts = trigrams(batch.column(1))
         row = np.repeat(np.arange(len(langs)), np.diff(starts))
         for lang in set(langs):
-            counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            counts[lang] += np.bincount(bucket[(langs == lang)[row]], minlength=BUCKETS)
-        if len(counts) > MAX_LANGUAGES:  # bounds the task's memory; sums are added up later
-            yield from rows()
-            counts.clear()
+            if lang not in counts and len(counts) >= MAX_LANGUAGES:  # bounds the task's memory; sums are added up later
+                yield from rows()
+                counts.clear()
+            found = np.bincount(bucket[(langs == lang)[row]], minlength=BUCKETS)
+            counts[lang] = counts[lang] + found if lang in counts else found
     yield from rows()
 
 

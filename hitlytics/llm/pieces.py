@@ -19,6 +19,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -458,7 +459,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def decode(encoded: DataFrame, column: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """`encoded` with `text`, the text of the segmentation in `column`; null gives null."""
     @F.pandas_udf("string")
-    def joined(ids):
+    def joined(ids: pd.Series) -> pd.Series:
         pieces = vocabulary(path)
         return ids.map(lambda x: None if x is None else pieces.decode(list(x)))
 

@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ def detect(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """`docs` with personal data in the text replaced by its kind; null stays null, other columns stay as they are."""
     @F.pandas_udf("string")
-    def clean(column):
+    def clean(column: pd.Series) -> pd.Series:
         return column.map(lambda t: t if t is None else redacted(t, find(t)))
 
     return docs.withColumn(text_column, clean(text_column))

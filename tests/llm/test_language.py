@@ -45,3 +45,18 @@ def test_odd_rows_and_no_languages(spark):
     nothing = language.learn(docs(spark, [(2, "text")]))
     assert nothing[0] == [] and language.identify(table, nothing).filter("lang_pred != 'und'").count() == 0
     assert language.identify(docs(spark, []), model).count() == 0
+
+
+def test_many_languages_of_a_batch_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    langs, rows = ["a", "b", "c", "a", "d", "e"], ["abc", "über", "x y", "abc abc", "", "zz"]
+    found = {}
+    for part in language._count_batches(iter([pa.RecordBatch.from_arrays([pa.array(langs), pa.array(rows)], ["lang", "text"])])):
+        assert len(set(part["lang"].to_pylist())) <= 1
+        for lang, bucket, n in zip(*(part[c].to_pylist() for c in ("lang", "bucket", "n"))):
+            found[lang, bucket] = found.get((lang, bucket), 0) + n
+    want = {}
+    for lang, text in zip(langs, rows):
+        for bucket in brute_trigrams(text):
+            want[lang, bucket] = want.get((lang, bucket), 0) + 1
+    assert found == want
