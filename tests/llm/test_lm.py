@@ -72,6 +72,21 @@ def test_shares_sum_to_one_in_every_class(model):
         assert np.allclose(sums[np.unique(model.class_of)], 1, atol=1e-3)
 
 
+@pytest.mark.parametrize("text", ["", "of", "The idiot of", "über çed", "日本 the thin"])
+def test_probabilities_of_all_next_subwords_sum_to_one(model, text):
+    coder = lm.subwords(lm.VOCABULARY)
+    before = [i for w in lm.words_of(text) for i in coder.split(w)]
+    rows = np.column_stack([np.tile(np.array(before, np.int32), (coder.size, 1)), np.arange(coder.size, dtype=np.int32)])
+    found = model.log10(rows.ravel(), np.arange(coder.size + 1) * rows.shape[1])
+    so_far = model.log10(np.array(before, np.int32), np.array([0, len(before)]))[0] if before else 0.0
+    assert (10 ** (found - so_far)).sum() == pytest.approx(1, abs=2e-3)
+
+
+def test_no_class_holds_first_and_inner_subwords(model):
+    first, inner = np.unique(model.class_of[model.begins]), np.unique(model.class_of[~model.begins])
+    assert len(first) > 1 and len(inner) > 1 and not set(first.tolist()) & set(inner.tolist())
+
+
 def test_pairs_equal_counts_and_shares_after_a_subword_sum_to_one(spark, model, monkeypatch):
     coder = lm.subwords(lm.VOCABULARY)
     counts = Counter()
