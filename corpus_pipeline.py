@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each is written and read again before the next.
 
 Toxic documents go, one document of each near-duplicate group stays, contaminated documents go, personal data is replaced,
-and what is left is encoded. Rows that share a doc_id are one document: they stay or go together.
+and what is left is encoded. Every row is judged for itself, whatever its doc_id: ids may be absent or repeated.
 """
 
 from __future__ import annotations
@@ -24,11 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; documents without an id stay if their whole group has none."""
+    """One row of each group: that with the smallest doc_id, rows without one last; of several, any one of them."""
     texts.prepare(spark)
-    found = simhash.near_duplicates(docs)
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    # Row numbers are written, so that both reads see the same ones.
+    rows = session.written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("__row").alias("row"))
+    found = simhash.near_duplicates(rows.select(key.alias("id"), "text"), "id")
+    gone = found.filter(F.col("id.row") != F.col("component.row")).select(F.col("id.row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,14 +156,8 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def removed(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", spans: bool = False) -> DataFrame:
     """`docs` without its contaminated documents or, with `spans`, with all hit passages cut out of the texts.
 
-    Rows that share an id are one document here: it goes if any of its rows is contaminated. A null id always stays.
-    Passages are cut out of each row's own text, whatever its id; null texts stay null.
+    Each row is judged and cut by its own text, whatever its id; null texts stay, as null.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    if not spans:
-        bad = scan(rows, items, "id", "text").filter(contaminated()).select(F.col("id").alias("__bad")).distinct()
-        return docs.join(bad, docs[id_column] == bad["__bad"], "left_anti")
-
     @F.pandas_udf("string")
     def cut(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t, list(zip(a, z))) for t, a, z in zip(text, first, last)], dtype=object)
@@ -172,4 +166,6 @@ def removed(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     whole = F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(docs.columns)])
     found = scan(docs.select(whole.alias("id"), F.col(text_column).alias("text")), items, "id", "text")
     own = [F.col(f"id.c{i}") for i in range(len(docs.columns))]
+    if not spans:
+        return found.filter(~contaminated()).select(*[c.alias(n) for n, c in zip(docs.columns, own)])
     return found.select(*[(cut(c, "spans.first", "spans.last") if n == text_column else c).alias(n) for n, c in zip(docs.columns, own)])

@@ -91,6 +91,23 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
         assert corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).count() == table.count()
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark, sf_dir):
+    x, y, z, w = (" ".join(f"{c}{n}" for n in range(80)) for c in "xyzw")
+    rows = [(7, x), (9, x), (7, y), (3, y), (5, z), (5, z), (None, z), (None, w), (None, w), (None, "all alone here")]
+    table = docs(spark, rows)
+    found = corpus_pipeline.drop_near_duplicates(spark, table, sf_dir)
+    assert found.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text) for r in found.collect()) == sorted([(7, x), (3, y), (5, z), (0, w), (0, "all alone here")])
+
+
+def test_contaminated_rows_go_whatever_their_id(spark, sf_dir):
+    passage = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    table = docs(spark, [(None, passage), (None, "clean words"), (4, passage), (4, "more clean words"), (5, None)])
+    found = corpus_pipeline.drop_contaminated(spark, table, sf_dir)
+    assert found.dtypes == table.dtypes
+    assert {(r.doc_id, r.text) for r in found.collect()} == {(None, "clean words"), (4, "more clean words"), (5, None)}
+
+
 def test_run_equals_its_stages(spark, stages):
     assert corpus_pipeline.run(spark, STAGED).count() == len(stages[-1][1])
 
