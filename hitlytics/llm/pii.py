@@ -77,6 +77,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Checked IBANs. Groups that follow one look like its own, so its end is sought at the ends of groups, the last first."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        for end in (m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")):
+            code = text[m.start():end].replace(" ", "")
+            if len(code) < 15:
+                break
+            if mod97(code):
+                yield m.start(), end
+                at = end
+                break
+
+
 def _byte(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 3 or len(part) == 3 and part <= "255"
@@ -98,9 +113,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in _PHONE.finditer(text) if "+" in text else ():
         if 10 <= len(_DIGITS.sub("", m[0])) <= 15:
             yield "phone", m.start(), m.end(), False
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end(), True
+    for start, end in _ibans(text):
+        yield "iban", start, end, True
     for m in _NATIONAL.finditer(text) if "-" in text else ():
         yield "national", m.start(), m.end(), False
 

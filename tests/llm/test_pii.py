@@ -59,6 +59,18 @@ def test_further_kinds_need_checksum_or_context():
     assert kinds("ssn 123-45-6789") == ["national"] and kinds("no 123-45-6789") == []
 
 
+@pytest.mark.parametrize("text, want", [
+    ("DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+    ("DE89370400440532013000 2024", ["DE89370400440532013000"]),
+    ("GB82 WEST 1234 5698 7654 32 EUR 250", ["GB82 WEST 1234 5698 7654 32"]),
+    ("BE68539007547034 BE68539007547034", ["BE68539007547034"] * 2),
+    ("NO12 REF 77 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+])
+def test_ibans_end_before_what_follows(text, want):
+    assert [text[s.start:s.end] for s in pii.find(text) if s.kind == "iban"] == want
+    assert not any(w in pii.redacted(text, pii.find(text)) for w in want)
+
+
 def test_long_runs_take_linear_time():
     began = time.time()
     for text in ("a" * 1_000_000 + " x@y", "1" * 1_000_000, "1." * 300_000, "a@" * 300_000, "+1" * 300_000, "AB12" * 250_000, "1-" * 300_000):
