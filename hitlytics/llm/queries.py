@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlytics import session
-from hitlytics.llm import decontaminate, language, lm, perplexity, pieces, pii, simhash, texts, toxicity, urls, warc
+from hitlytics.llm import (
+    decontaminate, language, lm, negatives, perplexity, pieces, pii, prefixes, simhash, texts, topk, toxicity, urls, warc)
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,18 @@ def benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def inverted_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.self_mine(texts.table(spark, sf_dir, "embeddings"))
+
+
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(texts.table(spark, sf_dir, "conversations"))
+
+
+def threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.self_search(texts.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_language_mixture": language_mixture,
@@ -88,4 +101,7 @@ QUERIES = {
     "op8_perplexity_rules": perplexity_rules,
     "op9_toxic_documents": toxic_documents,
     "op10_benchmark_windows": benchmark_windows,
+    "op11_inverted_negatives": inverted_negatives,
+    "op12_prefix_trie": prefix_trie,
+    "op13_threshold_top_k": threshold_top_k,
 }
