@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import HIT
@@ -15,17 +19,48 @@ def first_copies(events: DataFrame) -> DataFrame:
     return one_per(events, ["event_id"], [F.col("publish_order"), *content])
 
 
+#: So many days of a batch are read from the raw table one by one.
+DAY_RANGES = 64
+
+
+@dataclass(frozen=True)
+class Span:
+    """Where the hits of a batch lie: the first and last instant of each day (days since the epoch, microseconds), or, of
+    many days, of all together."""
+
+    days: tuple[tuple[int, int, int], ...] | None
+    first: int
+    last: int
+
+    def covers(self) -> list[Column]:
+        """Predicates on stored hits: one on the day, which prunes folders, one on the time, which prunes row groups.
+
+        Together they keep every stored hit at an instant at which the batch may have one.
+        """
+        def between(low: int, high: int) -> Column:
+            return F.col("hit_ts").between(F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high)))
+
+        if self.days is None:
+            return [between(self.first, self.last)]
+        days = [F.date_from_unix_date(F.lit(d)) for d, _, _ in self.days]
+        return [F.col("hit_date").isin(*days), reduce(or_, [between(a, z) for _, a, z in self.days])]
+
+
 def unseen(
-    events: DataFrame, stored: DataFrame, same_day: bool = True, days_of: DataFrame | None = None
+    events: DataFrame, stored: DataFrame, same_day: bool = True, days_of: DataFrame | None = None, span: Span | None = None
 ) -> DataFrame:
     """Events whose id is not in the raw table yet.
 
-    An id and its time are assigned together when the hit is admitted, so a copy lies on the same day: only
-    the days that occur in `events` are read from the table. Pass `same_day=False` for sources that may repeat
-    an id with another time; then all stored ids are compared. `days_of` is a cheaper frame with the same days.
+    An id and its time are assigned together when the hit is admitted, so a copy lies at the same instant: only what
+    `span` covers is read from the table or, without one, the days that occur in `events`. Pass `same_day=False` for
+    sources that may repeat an id with another time; then all stored ids are compared. `days_of` is a cheaper frame with
+    the same days.
     """
-    known = stored.select("event_id", "hit_date")
-    if same_day:
+    known = stored
+    if same_day and span is not None:
+        known = reduce(DataFrame.where, span.covers(), known)
+    known = known.select("event_id", "hit_date")
+    if same_day and (span is None or span.days is None):
         days = (events if days_of is None else days_of).select(F.to_date("hit_ts").alias("hit_date"))
         # Usually a handful; broadcast by its size at run time, the list prunes the partitions of the raw table.
         known = known.join(days.distinct(), "hit_date", "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times, values
 from ..functions.staging import computed_once
-from ..schema import EVENT_TYPE, HTTP_METHODS, MAX_RETRIES
+from ..schema import EVENT_TYPE, HTTP_METHODS, MAX_RETRIES, RETRY_BASE_MS, RETRY_CAP_MS
 
 STORE, RETRY, DEAD = "STORE", "RETRY", "DLQ"
 EXHAUSTED, NON_RETRYABLE = "MAX_RETRIES_EXCEEDED", "NON_RETRYABLE"
@@ -289,9 +289,16 @@ def dead_letters(routed: DataFrame, queue: str, now: Column) -> DataFrame:
         now.alias("dead_at"), F.lit(queue).alias("original_queue"))
 
 
+def due_at(now: Column, retry_count: Column, base_ms: int = RETRY_BASE_MS, cap_ms: int = RETRY_CAP_MS) -> Column:
+    """When a message is due again: the delay doubles with every retry it has had, up to `cap_ms`."""
+    doublings = F.least(F.coalesce(retry_count, F.lit(0)), F.lit(30))
+    delay = F.least(F.lit(base_ms) * F.pow(F.lit(2.0), doublings), F.lit(float(cap_ms))).cast("long")
+    return F.timestamp_micros(F.unix_micros(now) + delay * 1000)
+
+
 def retries(routed: DataFrame, queue: str, now: Column) -> DataFrame:
-    """Messages to be queued again: the same body, one more retry, the failure cleared."""
+    """Messages to be queued again: the same body, one more retry, the failure cleared, and when they are due."""
     return routed.where(F.col("outcome") == RETRY).select(
         "value", "message_id", (F.coalesce("retry_count", F.lit(0)) + 1).alias("retry_count"),
         F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("string").alias("error_code"),
-        now.alias("retry_at"), F.lit(queue).alias("original_queue"))
+        now.alias("retry_at"), due_at(now, F.col("retry_count")).alias("due_at"), F.lit(queue).alias("original_queue"))

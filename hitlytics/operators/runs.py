@@ -47,23 +47,36 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: C
     )
 
 
-def stitch(parts: DataFrame, keys: Sequence[str], sequence: Sequence[str] = ("chunk",)) -> DataFrame:
-    """Whole runs from segments whose chunks follow each other by `sequence`."""
-    # Open islands of a key share one window group (two per chunk at most); each closed one is on its own.
-    own_group = F.when(F.col("closed"), F.struct(*sequence, "island"))
-    within = Window.partitionBy(*keys, "_own").orderBy(*sequence, "island")
-    run = F.sum(F.when(F.col("island") > 0, 1).otherwise(0)).over(within)
-    return (
-        parts.withColumn("_own", own_group)
-        .withColumn("_run", run)
-        .groupBy(*keys, "_own", "_run")
+def merge(parts: DataFrame, keys: Sequence[str], sequence: Sequence[str] = ("chunk",)) -> DataFrame:
+    """Segments of neighbouring chunks as the segments of one: an open head, closed runs, an open tail.
+
+    Chunks follow each other by `sequence`. A run keeps the label (`sequence`, island) of its first segment, so merging is
+    associative: any batches that follow each other may be merged first. Closed runs pass through; of the open islands,
+    two per chunk at most share a window group, and two per key are left.
+    """
+    label = [*sequence, "island"]
+    ordered = Window.partitionBy(*keys).orderBy(*label)
+    run = F.sum(F.when(F.col("island") > 0, 1).otherwise(0)).over(ordered.rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    joined = (
+        parts.where(~F.col("closed")).withColumn("_run", run)
+        .groupBy(*keys, "_run")
         .agg(
+            F.min(F.struct(*label)).alias("_label"),
             F.sum("failures").alias("failures"),
             F.min("started_at").alias("started_at"),
             F.max("ended_at").alias("ended_at"))
-        .where(F.col("failures") > 0)
-        .drop("_own", "_run")
+        .withColumn("_last", F.max("_run").over(Window.partitionBy(*keys)))
+        .withColumn("closed", (F.col("_run") > 0) & (F.col("_run") < F.col("_last")))
+        .where(~F.col("closed") | (F.col("failures") > 0))
+        .select(*keys, "_label.*", "closed", "failures", "started_at", "ended_at")
     )
+    return joined.unionByName(parts.where("closed").select(*joined.columns))
+
+
+def stitch(parts: DataFrame, keys: Sequence[str], sequence: Sequence[str] = ("chunk",)) -> DataFrame:
+    """Whole runs from segments whose chunks follow each other by `sequence`."""
+    return merge(parts, keys, sequence).where(F.col("failures") > 0).select(*keys, "failures", "started_at", "ended_at")
 
 
 def failure_runs(

@@ -5,6 +5,10 @@ Every reader takes roll-up rows or unmerged partials alike: all of them add up a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,51 +145,98 @@ def time_series(
     )
 
 
-def dashboard(
-    rollup: DataFrame, now_ms: int, client_id: str | None = None, bounds: TimeRange = TimeRange()
-) -> DataFrame:
-    """One row: `stats`, the five top endpoints (ignoring the end bound) and the last 24 series rows."""
-    stats = overall_stats(rollup, now_ms, client_id, bounds)
-    top = top_endpoints(rollup, client_id, bounds.start, DASHBOARD_TOP)
-    series = time_series(rollup, now_ms, client_id, bounds, limit=DASHBOARD_SERIES)
-
-    def part(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.struct(*df.columns).alias(name))
-
-    # At most 1 + 5 + 24 rows meet here.
-    parts = (
-        part(stats, "stats")
-        .unionByName(part(top, "top"), allowMissingColumns=True)
-        .unionByName(part(series, "series"), allowMissingColumns=True)
-    )
+PARTS = {"stats": "stats", "top": "top_endpoints", "series": "recent_activity"}
+
+
+def _dashboard_parts(
+    rollup: DataFrame, now_ms: int, client_id: str | None, bounds: TimeRange
+) -> dict[str, Callable[[], DataFrame]]:
+    """The statistics, the five top endpoints (ignoring the end bound) and the last 24 series rows."""
+    return {
+        "stats": lambda: overall_stats(rollup, now_ms, client_id, bounds),
+        "top": lambda: top_endpoints(rollup, client_id, bounds.start, DASHBOARD_TOP),
+        "series": lambda: time_series(rollup, now_ms, client_id, bounds, limit=DASHBOARD_SERIES),
+    }
+
+
+def _combined(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row of the given parts; at most 1 + 5 + 24 rows meet here."""
+    tagged = [df.select(F.struct(*df.columns).alias(name)) for name, df in parts.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
     def in_order(rows: Column, *order: Column) -> Column:
         # The sort key leads the struct; the row follows and is taken out again.
         return F.transform(F.sort_array(F.collect_list(F.when(rows.isNotNull(), F.struct(
             *[c.alias(f"k{i}") for i, c in enumerate(order)], rows.alias("row"))))), lambda e: e["row"])
 
-    return parts.agg(
-        F.first("stats", ignorenulls=True).alias("stats"),
-        in_order(F.col("top"), -F.col("top.total_hits"), F.col("top.service_name"), F.col("top.endpoint"),
-                 F.col("top.method")).alias("top_endpoints"),
-        in_order(F.col("series"), -F.unix_micros(F.col("series.time_bucket")), F.col("series.service_name"),
-                 F.col("series.endpoint"), F.col("series.method")).alias("recent_activity"))
+    made = {
+        "stats": lambda: F.first("stats", ignorenulls=True),
+        "top": lambda: in_order(
+            F.col("top"), -F.col("top.total_hits"), F.col("top.service_name"), F.col("top.endpoint"), F.col("top.method")),
+        "series": lambda: in_order(
+            F.col("series"), -F.unix_micros(F.col("series.time_bucket")), F.col("series.service_name"),
+            F.col("series.endpoint"), F.col("series.method")),
+    }
+    return rows.agg(*[made[name]().alias(PARTS[name]) for name in parts])
 
 
-def dashboard_text(dashboard_row: DataFrame) -> DataFrame:
-    """The dashboard with its lists as text, two-decimal numbers in fixed form."""
-    def line(e: Column, *fields: Column) -> Column:
-        return F.concat_ws(" ", e["service_name"], e["endpoint"], e["method"], *fields)
+def dashboard(
+    rollup: DataFrame, now_ms: int, client_id: str | None = None, bounds: TimeRange = TimeRange()
+) -> DataFrame:
+    """One row: `stats`, `top_endpoints` and `recent_activity`, as one query; a part that fails, fails it."""
+    return _combined({name: make() for name, make in _dashboard_parts(rollup, now_ms, client_id, bounds).items()})
+
 
-    top = F.transform("top_endpoints", lambda e: line(
+def settled_dashboard(
+    rollup: DataFrame, now_ms: int, client_id: str | None = None, bounds: TimeRange = TimeRange(),
+    parts: dict[str, Callable[[], DataFrame]] | None = None,
+) -> DataFrame:
+    """The dashboard's row, each part computed by an action of its own: one that fails is null, and `errors` says why.
+
+    The actions run side by side and bring at most 1 + 5 + 24 rows to the driver. `parts` replaces parts by name (stats, top,
+    series), as when one of them reads another store.
+    """
+    spark = rollup.sparkSession
+    makers = _dashboard_parts(rollup, now_ms, client_id, bounds) | (parts or {})
+
+    def settle(name: str) -> tuple[DataFrame | None, str | None]:
+        try:
+            df = makers[name]()
+            return spark.createDataFrame(df.collect(), df.schema), None
+        except Exception as error:  # whatever a part raises is its own affair
+            return None, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+
+    with ThreadPoolExecutor(len(makers)) as pool:
+        settled = dict(zip(makers, pool.map(settle, makers)))
+    sound = {name: df for name, (df, _) in settled.items() if df is not None}
+    row = _combined(sound) if sound else spark.range(1).select()
+    failed = [F.struct(F.lit(PARTS[name]), F.lit(error)) for name, (_, error) in settled.items() if error is not None]
+    errors = F.map_from_entries(F.array(*failed)) if failed else F.lit(None).cast("map<string,string>")
+    return row.select(*[F.col(c) if c in row.columns else F.lit(None).cast("string").alias(c) for c in PARTS.values()], errors.alias("errors"))
+
+
+def _line(e: Column, *fields: Column) -> Column:
+    return F.concat_ws(" ", e["service_name"], e["endpoint"], e["method"], *fields)
+
+
+def top_text() -> Column:
+    """The top endpoints as text, two-decimal numbers in fixed form."""
+    return F.array_join(F.transform("top_endpoints", lambda e: _line(
         e, e["total_hits"].cast("string"), values.fixed_2dp(e["avg_latency"]), e["error_hits"].cast("string"),
-        values.fixed_2dp(e["error_rate"])))
-    recent = F.transform("recent_activity", lambda e: line(
+        values.fixed_2dp(e["error_rate"]))), "; ")
+
+
+def recent_text() -> Column:
+    """The last series rows as text, two-decimal numbers in fixed form."""
+    return F.array_join(F.transform("recent_activity", lambda e: _line(
         e, e["total_hits"].cast("string"), e["error_hits"].cast("string"), values.fixed_2dp(e["avg_latency"]),
         values.fixed_2dp(e["min_latency"]), values.fixed_2dp(e["max_latency"]),
-        F.date_format(e["time_bucket"], "yyyy-MM-dd HH:mm")))
-    return dashboard_row.select(
-        "stats.*", F.array_join(top, "; ").alias("top_endpoints"), F.array_join(recent, "; ").alias("recent_activity"))
+        F.date_format(e["time_bucket"], "yyyy-MM-dd HH:mm"))), "; ")
+
+
+def dashboard_text(dashboard_row: DataFrame) -> DataFrame:
+    """The dashboard with its lists as text."""
+    return dashboard_row.select("stats.*", top_text().alias("top_endpoints"), recent_text().alias("recent_activity"))
 
 
 def entitled_stats(

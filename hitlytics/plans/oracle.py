@@ -345,6 +345,8 @@ def statements() -> dict[str, str]:
         "time_series_endpoint": with_(*hourly, select=series(1000, where=JANUARY + (
             " AND client_id = '000000000000000000000008' AND service_name = 'error' AND endpoint = '/error/9'"))),
         "dashboard": with_(*hourly, select=DASHBOARD),
+        "settled_dashboard": with_(*hourly, select=f"""SELECT * EXCLUDE (recent_activity), CAST(NULL AS VARCHAR) AS recent_activity,
+  'recent_activity' AS failed FROM ({DASHBOARD})"""),
         "entitled_stats": with_(HITS, folded(), USERS, CLIENTS, SCOPED, ENTITLED.split("\nSELECT user_id", 1)[0],
                                 select="SELECT user_id" + ENTITLED.split("\nSELECT user_id", 1)[1]),
         "tenant_scope": with_(USERS, CLIENTS, SCOPED, select="""SELECT user_id,
@@ -394,7 +396,8 @@ FROM checked WHERE coalesce(parse_error, store_error) IS NOT NULL"""),
   CASE WHEN retry_count >= 3 THEN 'MAX_RETRIES_EXCEEDED' WHEN NOT transient THEN 'NON_RETRYABLE' END AS dead_reason
 FROM triaged"""),
         "retry_queue": with_(FAILURES, select=f"""SELECT value, message_id, retry_count + 1 AS retry_count,
-  {NOW} AS retry_at, 'api_hits' AS original_queue FROM triaged WHERE transient AND retry_count < 3"""),
+  {NOW} AS retry_at, {NOW} + INTERVAL 1 MILLISECOND * CAST(least(1000 * 2 ** retry_count, 30000) AS BIGINT) AS due_at,
+  'api_hits' AS original_queue FROM triaged WHERE transient AND retry_count < 3"""),
         "batch_outcomes": with_(*sound, select="""SELECT (SELECT count(*) FROM first_sound) AS processed,
   count(*) FILTER (WHERE coalesce(parse_error, store_error) IS NULL) - (SELECT count(*) FROM first_sound) AS duplicates,
   count(*) FILTER (WHERE coalesce(parse_error, store_error) IS NOT NULL) AS failed, CAST(0 AS BIGINT) AS retried,
@@ -407,6 +410,11 @@ FROM first_sound GROUP BY 1"""),
         "ingest_batches": with_(*sound, select="""SELECT strftime(hit_ts, '%Y-%m-%d') AS day,
   count(*) FILTER (WHERE hit_ts >= TIMESTAMP '2024-01-16 00:00:00') AS raw_hits, count(*) AS rollup_hits
 FROM first_sound GROUP BY 1"""),
+        "rerun_batches": with_(*sound, select="""SELECT strftime(hit_ts, '%Y-%m-%d') AS day, count(*) AS raw_hits,
+  count(*) AS rollup_hits FROM first_sound GROUP BY 1"""),
+        "batch_runs": with_(*sound, select=runs_sql(
+            "client_id, service_name, endpoint", "hit_ts, event_id", "hit_ts",
+            "SELECT *, status_code >= 400 AS failed FROM first_sound")),
         "number_texts": """SELECT CAST(event_id AS VARCHAR) AS event_id,
   CASE WHEN event_id % 50 = 0 THEN 2305843009213693952.0 ELSE CAST(event_id AS DOUBLE) END AS number FROM events""",
         "epoch_numbers": "SELECT CAST(event_id AS VARCHAR) AS event_id, epoch_ms(event_id % 10000) AS hit_ts FROM events",

@@ -77,6 +77,16 @@ def dashboard(spark, sf_dir):
     return analytics.dashboard_text(analytics.dashboard(stored, NOW, bounds=JANUARY))
 
 
+@register
+def settled_dashboard(spark, sf_dir):
+    """The dashboard while its series cannot be computed: the other parts are there, and the reason is named."""
+    stored = written(_hourly(spark, sf_dir), "rollup")
+    unreadable = {"series": lambda: analytics.time_series(stored.drop("max_latency_us"), NOW, bounds=JANUARY)}
+    row = analytics.settled_dashboard(stored, NOW, bounds=JANUARY, parts=unreadable)
+    return row.select(
+        "stats.*", analytics.top_text().alias("top_endpoints"), "recent_activity", F.array_join(F.map_keys("errors"), ",").alias("failed"))
+
+
 @register
 def entitled_stats(spark, sf_dir):
     scopes = scope.resolve(fx.users(spark, sf_dir), fx.clients(spark, sf_dir))
@@ -250,7 +260,7 @@ def retry_queue(spark, sf_dir):
     """Messages to be queued again, of all messages with a reported failure."""
     triaged = envelope.triage(fx.failures(spark, sf_dir)).withColumn("error", F.col("error_message"))
     return envelope.retries(triaged, "api_hits", at(NOW)).select(
-        "value", "message_id", "retry_count", "retry_at", "original_queue")
+        "value", "message_id", "retry_count", "retry_at", "due_at", "original_queue")
 
 
 @register
@@ -317,6 +327,48 @@ def ingest_batches(spark, sf_dir):
     return _hits_by_day(tables)
 
 
+def _messages_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages with the day of their event, null where it has none."""
+    return written(fx.envelopes(spark, sf_dir).withColumn("day", F.get_json_object("value", "$.data.timestamp").cast("timestamp").cast("date")), "messages")
+
+
+def _ingest(tables: HitTables, messages: DataFrame, batch_id: int) -> None:
+    batch.ingest_batch(tables, messages.drop("n", "attempt", "day"), batch_id, NOW)
+
+
+@register
+def rerun_batches(spark, sf_dir):
+    """A batch of two days fails ahead of its roll-up, another one brings the events of one of them, then the first is run
+    again: raw hits and hits in the roll-up per day, as many as there are events."""
+    root = shared_path(spark, "rerun")
+    tables = HitTables(spark, root).create()
+    messages = _messages_by_day(spark, sf_dir)
+    day = F.coalesce(F.dayofmonth("day"), F.lit(0))
+    twice = messages.where(day.isin(11, 12))
+    _ingest(tables, messages.where((day < 11) & (F.col("n") % 3 == 0)), 0)
+    try:
+        _ingest(_Interrupted(spark, root), twice, 1)
+    except InterruptedError:
+        pass
+    _ingest(tables, messages.where(day != 12), 2)
+    _ingest(tables, twice, 1)
+    tables.compact()
+    return _hits_by_day(tables)
+
+
+@register
+def batch_runs(spark, sf_dir):
+    """Failure runs across four batches that follow each other in time, of which the first three are merged on the way."""
+    tables = HitTables(spark, shared_path(spark, "runs")).create()
+    messages = _messages_by_day(spark, sf_dir)
+    day = F.coalesce(F.dayofmonth("day"), F.lit(0))
+    for number, (first, last) in enumerate([(0, 8), (9, 16), (17, 23), (24, 31)]):
+        _ingest(tables, messages.where(day.between(first, last)), number)
+        if number in (1, 2):
+            tables.compact()
+    return tables.failure_runs()
+
+
 @register
 def failure_runs(spark, sf_dir):
     hits = fx.hits(spark, sf_dir)

@@ -15,6 +15,7 @@ KEY_EXPIRY_DAYS = 365
 QUOTA_REQUESTS = 1000
 QUOTA_WINDOW_SECONDS = 900
 POISON_THRESHOLD = 10
+RETRY_BASE_MS, RETRY_CAP_MS = 1000, 30_000
 LAST_EPOCH_MS = 8_640_000_000_000_000  # last instant of the date type of the message producers
 OBJECT_ID = "^[0-9a-fA-F]{24}$"
 
@@ -40,7 +41,7 @@ HIT = _struct(
     event_id=_S, hit_ts=_TS, service_name=_S, endpoint=_S, method=_S, status_code=_D,
     latency_ms=_D, client_id=_S, api_key_id=_S, ip=_S, user_agent=_S)
 
-STORED_HIT = T.StructType(HIT.fields + _struct(stored_at=_TS, hit_date=T.DateType(), batch_id=_L).fields)
+STORED_HIT = T.StructType(HIT.fields + _struct(stored_at=_TS, hit_date=T.DateType()).fields)
 
 ROLLUP_KEY = ["client_id", "service_name", "endpoint", "method", "time_bucket"]
 
@@ -50,27 +51,25 @@ ROLLUP = _struct(
     client_id=_S, service_name=_S, endpoint=_S, method=_S, time_bucket=_TS,
     total_hits=_L, error_hits=_L, latency_us=_L, min_latency_us=_L, max_latency_us=_L)
 
-STORED_ROLLUP = T.StructType(
-    ROLLUP.fields + _struct(updated_at=_TS, bucket_date=T.DateType(), batch_id=_L).fields)
+STORED_ROLLUP = T.StructType(ROLLUP.fields + _struct(updated_at=_TS, bucket_date=T.DateType()).fields)
 
-# A merged day of the roll-up; `version` is the last batch merged into it.
-ROLLUP_SNAPSHOT = T.StructType(
-    ROLLUP.fields + _struct(updated_at=_TS, bucket_date=T.DateType(), version=_L).fields)
-
-ROLLUP_REJECT = T.StructType(HIT.fields + _struct(reject_reason=_S, batch_id=_L).fields)
+ROLLUP_REJECT = T.StructType(HIT.fields + _struct(reject_reason=_S).fields)
 
 DEAD_LETTER = T.StructType(MESSAGE.fields + _struct(
-    dead_reason=_S, dead_error=_S, dead_at=_TS, original_queue=_S, batch_id=_L).fields)
+    dead_reason=_S, dead_error=_S, dead_at=_TS, original_queue=_S).fields)
+
+RETRY = T.StructType(MESSAGE.fields + _struct(retry_at=_TS, due_at=_TS, original_queue=_S).fields)
 
-RETRY = T.StructType(MESSAGE.fields + _struct(
-    retry_at=_TS, original_queue=_S, batch_id=_L).fields)
+# Everything a batch makes of its messages, by outcome: stored hits, retries and dead letters.
+OUTCOME = T.StructType(
+    HIT.fields + _struct(stored_at=_TS, reject_reason=_S).fields + MESSAGE.fields
+    + _struct(dead_reason=_S, dead_error=_S, dead_at=_TS, retry_at=_TS, due_at=_TS, original_queue=_S).fields
+    + _struct(batch_id=_L, outcome=_S, hit_date=T.DateType()).fields)
 
 BATCH_STATS = _struct(
-    processed=_L, duplicates=_L, failed=_L, retried=_L, dead_lettered=_L, rollup_rejected=_L,
+    processed=_L, duplicates=_L, failed=_L, retried=_L, dead_lettered=_L, rollup_rejected=_L, expired=_L,
     last_processed_at=_TS, batch_id=_L)
 
-STORE_STATE = _struct(version=_L, compacted_through=_L, expired_before=_L)
-
 # One maximal stretch of failures inside one chunk of a key's timeline.
 RUN_SEGMENT = _struct(
     client_id=_S, service_name=_S, endpoint=_S, chunk=_L, island=_L, closed=_B,

@@ -11,20 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import MESSAGE
 
+#: A gibibyte of queue files.
+MAX_BYTES = 1 << 30
+
 
 def read(spark: SparkSession, *paths: str, fmt: str = "parquet") -> DataFrame:
     """All messages of the given folders."""
     return spark.read.schema(MESSAGE).format(fmt).load(list(paths))
 
 
-def read_stream(spark: SparkSession, *paths: str, fmt: str = "parquet", max_files: int = 10) -> DataFrame:
-    """Messages as they arrive, at least once. `max_files` bounds a micro-batch per folder.
+def read_stream(
+    spark: SparkSession, *paths: str, fmt: str = "parquet", max_bytes: int = MAX_BYTES, max_files: int | None = None
+) -> DataFrame:
+    """Messages as they arrive, at least once, bounded per folder and micro-batch by the size of the files (a larger file
+    makes a batch of its own) or, if given, by their number.
 
-    Give the retry folder as a further path to have retried messages come round again.
+    Give the folder of released retries as a further path to have retried messages come round again.
     """
+    bound = ("maxBytesPerTrigger", max_bytes) if max_files is None else ("maxFilesPerTrigger", max_files)
     streams = [
         spark.readStream.schema(MESSAGE).format(fmt)
-        .option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").load(path)
+        .option(*bound).option("recursiveFileLookup", "true").load(path)
         for path in paths
     ]
     return reduce(DataFrame.unionByName, streams)

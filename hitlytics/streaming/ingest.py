@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.batch import ingest_batch
+from ..operators import envelope
+from ..plans.batch import ingest_routed
 from ..schema import DEFAULT_QUEUE, MAX_RETRIES
 from ..session import configure
 from ..sources import queue
 from ..sources.tables import HitTables
+from . import counters
 
 
 def wall_clock_ms() -> int:
@@ -29,7 +31,8 @@ def start(
     root: str,
     checkpoint: str,
     fmt: str = "parquet",
-    max_files: int = 10,
+    max_bytes: int = queue.MAX_BYTES,
+    max_files: int | None = None,
     trigger: dict | None = None,
     with_retries: bool = False,
     max_retries: int = MAX_RETRIES,
@@ -38,19 +41,26 @@ def start(
 ) -> StreamingQuery:
     """Starts the stream. One root belongs to one checkpoint: batch numbers must not start again.
 
-    `with_retries` feeds the retry table back into the source (parquet queues only).
+    `max_bytes` of queue files make a micro-batch, or `max_files` if given. Progress reports carry the outcomes of each
+    batch under `counters.NAME`. `with_retries` has retried messages come round again once they are due (parquet queues only):
+    those due when the stream starts and after each of its batches; an idle stream needs `release_due` to be called.
     """
     configure(spark)
     tables = HitTables(spark, root).create()
-    paths = [queue_path, tables.path("retries")] if with_retries else [queue_path]
-    messages = queue.read_stream(spark, *paths, fmt=fmt, max_files=max_files)
+    if with_retries:
+        tables.release_due(clock())
+    paths = [queue_path, tables.path("released")] if with_retries else [queue_path]
+    messages = queue.read_stream(spark, *paths, fmt=fmt, max_bytes=max_bytes, max_files=max_files)
+    routed = counters.observed(envelope.route(messages, max_retries))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(
-            HitTables(batch.sparkSession, root), batch, batch_id, clock(), queue_name, max_retries)
+        own = HitTables(batch.sparkSession, root)
+        ingest_routed(own, batch, batch_id, clock(), queue_name)
+        if with_retries:
+            own.release_due(clock())
 
     return (
-        messages.writeStream.foreachBatch(process)
+        routed.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -2,6 +2,7 @@
 
 import json
 from datetime import timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,15 +121,19 @@ def test_retried_messages_come_round_again(spark):
     frame(spark, [message(1), message(2, error="Connection closed"), message(3, retry_count=3, error="ETIMEDOUT")]
           ).write.parquet(f"{folder}/queue")
 
-    def run():
+    def run(now):
         return ingest.run(spark, f"{folder}/queue", f"{folder}/tables", f"{folder}/checkpoint", with_retries=True,
-                          clock=lambda: NOW)
+                          clock=lambda: now)
 
-    tables = run()
+    tables = run(NOW)
     assert rows(tables.raw(), "event_id") == [("e1",)]
     assert rows(tables.retries(), "message_id", "retry_count") == [("e2", 1)]
-    tables = run()
-    assert rows(tables.raw(), "event_id") == [("e1",), ("e2",)]
+    assert rows(tables.retries().select((F.unix_millis("due_at") - NOW).alias("delay"))) == [(1000,)]
+    assert rows(run(NOW + 999).raw(), "event_id") == [("e1",)]  # not due yet
+    assert rows(run(NOW + 1000).raw(), "event_id") == [("e1",), ("e2",)]
+    tables = run(NOW + 5000)  # released once
+    assert rows(tables.raw(), "event_id") == [("e1",), ("e2",)] and tables.last_batch() == 1
+    assert tables.release_due(NOW + 5000) == 0
     assert rows(tables.dead_letters(), "message_id", "dead_reason") == [("e3", "MAX_RETRIES_EXCEEDED")]
 
 
@@ -143,7 +148,7 @@ def test_compaction_keeps_the_sums(spark, tables):
     assert rows(tables.endpoint_metrics(), *ROLLUP.names) == before
     assert tables.rollup().count() == len(before) < unmerged
     assert tables.compact() == 1  # nothing new
-    stored = lambda: sum(len(tables._read(t).inputFiles()) for t in ("endpoint_metrics", "endpoint_metrics_merged"))
+    stored = lambda: len(list(Path(tables.path("endpoint_metrics")).rglob("*.parquet")))
     files, later = stored(), wall_clock_ms() + 86_400_000 + 1000
     assert tables.clean(later - 86_400_000) == 0  # readers may still be on them
     assert tables.clean(later) > 0 and stored() < files and tables.clean(later) == 0
