@@ -1,7 +1,7 @@
 """Benchmark decontamination: token windows of a corpus are looked up in a broadcast hash set of test n-grams.
 
-The set is broadcast in blocks of at most BLOCK_WINDOWS windows; every block scans the documents in the same pass over
-the rows, so a larger benchmark costs more scans but no shuffle of texts. Only runs of words that all occur in the block
+The set is broadcast in blocks of at most BLOCK_WINDOWS windows, one after another; rows are written with their hits
+between blocks, so a larger benchmark costs more passes but no shuffle of texts and no more memory. Only runs of words that all occur in the block
 are looked up, and a lookup compares the words themselves, not hashes alone.
 """
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitlytics import session
 from hitlytics.llm import texts
 
 WINDOW_WORDS = 13
@@ -50,7 +51,7 @@ def windows(items: DataFrame, id_column: str = "item_id", text_column: str = "te
                 found = list(dict.fromkeys(windows_of(words_of(text))))
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array([w.decode() for w in found], pa.string())], ["item", "window"])
 
-    return items.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text")).mapInArrow(
+    return items.select(F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text")).mapInArrow(
         batches, "item string, window string").distinct()
 
 
@@ -103,7 +104,7 @@ def _scan(rows: DataFrame, block: Block, id_type: str, keep_text: bool) -> DataF
                 found = list(own.hits(words))
                 counts.append(len(words))
                 spans.append([{"first": a, "last": b} for a, b in _joined([(s["first"], s["last"]) for s in old] + [x[:2] for x in found])])
-                items.append(sorted(set(seen).union(*(x[2] for x in found))))
+                items.append(sorted(set(seen).union(*(x[2] for x in found)), key=lambda i: (i is None, i)))
             arrays = [column["id"], *([column["text"]] if keep_text else []), pa.array(counts, pa.int64()),
                       pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", *(["text"] if keep_text else []), "n_words", "spans", "items"])
@@ -115,8 +116,9 @@ def scan(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_colu
          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, spans, items): per row of `docs`, the word ranges hit and the items (as text, sorted) that hit them.
 
-    Null and empty texts have no words and no hits. Items without an id or without words are left out; items repeated
-    under one id count once. An empty benchmark gives rows without hits. Each row of `docs` is judged for itself.
+    Null and empty texts have no words and no hits. Items without words are left out; items repeated under one id count
+    once, and so do those without an id, which stand last, as null. An empty benchmark gives rows without hits. Each row of
+    `docs` is judged for itself.
     """
     found = texts.checkpointed(windows(items, item_id, item_text))
     total = found.count()
@@ -129,6 +131,8 @@ def scan(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_colu
         # A window and all its items stay in one block; distinct (item, window) pairs bound its size.
         part = found.filter(F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks)) == n).select("item", "window").collect()
         rows = _scan(rows, Block([tuple(r) for r in part]), id_type, n < n_blocks - 1)
+        if n < n_blocks - 1:  # a stage of its own, so that workers hold one block at a time
+            rows = session.written(rows, "spans")
     return rows
 
 

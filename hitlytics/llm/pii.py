@@ -26,10 +26,23 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2})[0-9]{2}(?= ?[A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGITS = re.compile("[^0-9]+")
 
+#: How long an IBAN of a country is, by the public register.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_IBAN_ENDS = {n: re.compile(rf"(?: ?[A-Za-z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in sorted(set(IBAN_LENGTHS.values()))}
+
 #: Words that, close by, speak for a kind.
 CONTEXT = {
     "email": ("mail", "contact", "write"),
@@ -78,18 +91,14 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    """Checked IBANs. Groups that follow one look like its own, so its end is sought at the ends of groups, the last first."""
-    at = 0
-    while m := _IBAN.search(text, at):
-        at = m.start() + 1
-        for end in (m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")):
-            code = text[m.start():end].replace(" ", "")
-            if len(code) < 15:
-                break
-            if mod97(code):
-                yield m.start(), end
-                at = end
-                break
+    """Checked IBANs of their country's length, in capitals or not, in groups or not; what follows them is not theirs."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        length = IBAN_LENGTHS.get(m[1].upper())
+        if length is not None and m.start() >= free and (rest := _IBAN_ENDS[length].match(text, m.end())):
+            if mod97((m[0] + rest[0]).replace(" ", "").upper()):
+                free = rest.end()
+                yield m.start(), free
 
 
 def _byte(part: str) -> bool:

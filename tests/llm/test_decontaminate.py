@@ -18,22 +18,23 @@ def brute(text, items):
     words, hit, names = brute_words(text), set(), set()
     for item, passage in items:
         own = brute_words(passage)
-        if item is None or not own:
+        if not own:
             continue
         size = min(13, len(own))
         for i in range(len(own) - size + 1):
             for at in range(len(words) - size + 1):
                 if words[at:at + size] == own[i:i + size]:
                     hit |= set(range(at, at + size))
-                    names.add(str(item))
-    return len(words), len(hit), sorted(names)
+                    names.add(None if item is None else str(item))
+    return len(words), len(hit), sorted(names, key=lambda n: (n is None, n))
 
 
 @pytest.fixture
 def corpus(spark):
     rng = random.Random(8)
     items = [(1, sentence(rng, 30)), (2, sentence(rng, 13)), (3, "Short item HERE"), (4, ""), (5, None), (None, sentence(rng, 20)), (3, "short, item; here"), (30, "ü")]
-    texts = [*odd_texts(), (40, "so a Short-item here and short item here"), (41, items[0][1]), (42, sentence(rng, 50) + " " + items[0][1][40:] + ", " + items[1][1]), (43, items[1][1] + " x " + items[1][1])]
+    texts = [*odd_texts(), (40, "so a Short-item here and short item here"), (41, items[0][1]), (42, sentence(rng, 50) + " " + items[0][1][40:] + ", " + items[1][1]), (43, items[1][1] + " x " + items[1][1]),
+             (44, "it " + items[5][1] + " " + items[1][1])]
     return docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), texts, items
 
 
@@ -57,6 +58,12 @@ def test_removal_of_documents_and_of_spans(corpus):
     assert cut[40].startswith("so a ") and "tem" not in cut[40]
 
 
+def test_items_without_an_id_hit_as_well(corpus):
+    table, bench, texts, items = corpus
+    found = decontaminate.scan(table, bench).filter("id = 44").select(decontaminate.n_hit(), "items").first()
+    assert tuple(found) == (33, ["2", None])
+
+
 def test_rows_of_one_id_are_cut_one_by_one(spark, corpus):
     _, bench, _, items = corpus
     texts = ["before " + items[0][1] + " after", "clean", items[1][1], None, ""]
