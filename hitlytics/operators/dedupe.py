@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +36,13 @@ class Span:
 
         Together they keep every stored hit at an instant at which the batch may have one.
         """
-        def between(low: int, high: int) -> Column:
-            return F.col("hit_ts").between(F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high)))
+        def between(low: int, high: int) -> str:
+            return f"hit_ts BETWEEN timestamp_micros({low}L) AND timestamp_micros({high}L)"
 
         if self.days is None:
-            return [between(self.first, self.last)]
-        days = [F.date_from_unix_date(F.lit(d)) for d, _, _ in self.days]
-        return [F.col("hit_date").isin(*days), reduce(or_, [between(a, z) for _, a, z in self.days])]
+            return [F.expr(between(self.first, self.last))]
+        days = ", ".join(f"date_from_unix_date({d})" for d, _, _ in self.days)
+        return [F.expr(f"hit_date IN ({days})"), F.expr(" OR ".join(between(a, z) for _, a, z in self.days))]
 
 
 def unseen(
