@@ -6,14 +6,16 @@ any others: a node is a set of segmentations that share their beginning, its bou
 drawn from the Gumbel distribution of its mass below its parent's bound. Inclusion scores follow from the first value left
 out. All draws come from the row's key, so a row's samples depend on nothing else.
 
-Pieces never cross a space or a line end, so a text's lattice is a chain of lattices of short units. A worker keeps those it
-has built, up to KEPT_UNITS, and builds and sums the new ones of a batch at once in numpy.
+No piece crosses the beginning of a run of spaces or a line end, so a text's lattice is a chain of lattices of units, cut
+there and nowhere else. A worker keeps those it has built, up to KEPT_UNITS and KEPT_POSITIONS, and builds and sums the new
+ones of a batch at once in numpy.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,22 +30,19 @@ from hitlytics.llm import texts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 17
-#: A lattice unit's characters: longer runs are cut.
-UNIT_CHARS = 256
 #: Bounds this far below the last one needed are left out: they matter with probability e^-30.
 NEGLIGIBLE = 30.0
-#: Siblings that together have less than this chance, the precision of the kept log probabilities, are not drawn.
-SURE = 1e-6
 #: Rank at which a piece's weight has fallen to half of the first one's.
 HALF_RANK = 10.0
 
-#: Units whose lattices a worker remembers.
-KEPT_UNITS = 150_000
+#: Units whose lattices a worker remembers, and their characters; a batch that brings more is still held whole.
+KEPT_UNITS, KEPT_POSITIONS = 150_000, 2_000_000
 #: Characters below this have a table of their own in the trie.
 COMMON = 384
 
 _STEP, _ROW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _WORD, _MIXES = (1 << 64) - 1, texts.MIXES
+_TOP = (1 << 32) - 1
 
 
 class Vocabulary:
@@ -170,9 +169,16 @@ class _Edges:
             top = np.maximum.reduceat(value, head)
             mass[p] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), head))
         self.log_p = cost + np.where(ending, 0.0, mass[self.target]) - mass[self.source]
-        cumulated = np.cumsum(np.exp(self.log_p))
-        self.chance = cumulated - np.r_[0.0, cumulated][first[self.source]]
-        self.chance[first[1:] - 1] = 2.0  # the last edge of a position takes the rest
+        share = np.exp(self.log_p)
+        # What an edge leaves to its siblings: those of an edge above one half are added up, so that small sums stay exact.
+        minor = np.where(share > 0.5, 0.0, share)
+        others = np.add.reduceat(minor, first[:-1])[self.source] if len(share) else share
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.where(share > 0.5, np.log(others), np.log1p(-minor))
+        cumulated = np.cumsum(share)
+        # Cumulated chances as fractions of 2^32; the last edge of a position takes the rest.
+        self.chance = np.clip((cumulated - np.r_[0.0, cumulated][first[self.source]]) * 2.0 ** 32, 0, _TOP)
+        self.chance[first[1:] - 1] = _TOP
         self.first, self.sizes = first[:-1], sizes
 
 
@@ -185,7 +191,7 @@ class _Numbers(dict):
 
     def __missing__(self, unit: str) -> int:
         self[unit] = number = len(self)
-        self.new.append(unit[2:] if unit[:2] == "\n\n" else unit if unit[:1] == "\n" else " " + unit)
+        self.new.append(unit)
         return number
 
 
@@ -200,11 +206,11 @@ class Lattices:
         self.number = _Numbers()
         self.start, self.end, self.first = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int32)
         self.target, self.id = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.log_p, self.chance = np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.log_p, self.log_rest, self.chance = np.zeros(0, np.float32), np.zeros(0, np.float32), np.zeros(0, np.uint32)
 
     def numbers(self, rows: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Unit numbers of all rows and where each row's start; the lattices of units not met before are built."""
-        if len(self.number) > KEPT_UNITS:
+        if len(self.number) > KEPT_UNITS or len(self.first) > KEPT_POSITIONS:
             self._clear()
         units = [units_of(t) if t is not None else [] for t in rows]
         starts = np.r_[0, np.cumsum([len(u) for u in units])]
@@ -215,7 +221,7 @@ class Lattices:
             self.start, self.end = join(self.start, more.start + shift), join(self.end, more.start + more.sizes + shift)
             self.first = np.concatenate([self.first[:-1], (more.first + edges).astype(np.int32), [np.int32(edges + len(more.target))]])
             self.target, self.id = join(self.target, more.target + shift), join(self.id, more.id)
-            self.log_p, self.chance = join(self.log_p, more.log_p), join(self.chance, more.chance)
+            self.log_p, self.log_rest, self.chance = join(self.log_p, more.log_p), join(self.log_rest, more.log_rest), join(self.chance, more.chance)
             self.number.new = []
         return out, starts
 
@@ -225,7 +231,7 @@ class Lattices:
         active, steps = np.arange(len(unit)), []
         with np.errstate(over="ignore"):
             while len(active):
-                draw = (texts.mix(state + np.uint64(len(steps) + 1) * _STEP) >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24)
+                draw = (texts.mix(state + np.uint64(len(steps) + 1) * _STEP) >> np.uint64(32)).astype(np.uint32)
                 edge = self.first[at]
                 later = np.flatnonzero(draw > self.chance[edge])
                 while len(later):
@@ -245,20 +251,13 @@ class Lattices:
         return path, begin
 
 
-def units_of(text: str) -> list[str]:
-    """The keys of a text's units: a word after a space is its own, after a line end with it; longer ones are cut.
+#: A unit: a run of spaces with the word behind it, or a line end with the word behind it.
+_UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
-    The text is taken to begin with a space. What follows a cut is marked by two line ends, which no unit has.
-    """
-    out: list[str] = []
-    for n, line in enumerate(text.split("\n")):
-        words = line.split(" ")
-        if n:
-            words[0] = "\n" + words[0]
-        out += words
-    if len(text) > UNIT_CHARS and len(max(out, key=len)) > UNIT_CHARS:
-        out = [u for w in out for u in (w[:UNIT_CHARS], *["\n\n" + w[i:i + UNIT_CHARS] for i in range(UNIT_CHARS, len(w), UNIT_CHARS)])]
-    return out
+
+def units_of(text: str) -> list[str]:
+    """The units of a text, which is taken to begin with a space."""
+    return _UNIT.findall(" " + text)
 
 
 def _uniform(key: int, stream: int, n: int) -> np.ndarray:
@@ -309,7 +308,7 @@ class _Search:
                 break
         else:
             n = max(i for i, w in enumerate(weights) if w)
-        return options[n], total - weights[n] if sum(w > 0 for w in weights) > 1 else 0.0
+        return options[n], sum(weights[:n]) + sum(weights[n + 1:])
 
     def _nodes(self, step: int, mass: float, limit: float) -> None:
         """Pushes the best nodes along the newest sample from a step on; `mass` is the log probability before it."""
@@ -319,10 +318,8 @@ class _Search:
             part = edges[step:step + size]
             log_p = self.lattice.log_p[part].astype(np.float64)
             after = mass + np.cumsum(log_p)
-            with np.errstate(divide="ignore"):
-                rest = -np.expm1(log_p)
-                place = after - log_p + np.log(np.where(rest > SURE, rest, 0))
-                value = -np.logaddexp(-limit, np.log(-np.log(self._draws(len(part)))) - place)
+            place = after - log_p + self.lattice.log_rest[part]
+            value = -np.logaddexp(-limit, np.log(-np.log(self._draws(len(part)))) - place)
             top = np.argpartition(-value, self.k)[:self.k + 1] if len(value) > self.k + 1 else np.arange(len(value))
             best += [(-float(value[n]), self.streams, path, step + n, float(after[n] - log_p[n]), (int(part[n]),)) for n in top.tolist() if value[n] > -np.inf]
             best = sorted(best)[:self.k + 1]

@@ -15,7 +15,7 @@ def vocabulary():
 
 
 def all_segmentations(text, vocabulary):
-    """{ids: probability} of a text of one unit, by listing them."""
+    """{ids: probability} of a text, by listing them."""
     by_text = {t: n for n, t in enumerate(vocabulary.text) if t and vocabulary.byte[t[0]] != n}
     total = {}
 
@@ -81,6 +81,40 @@ def test_all_segmentations_are_found_once(vocabulary):
         assert all(r[2] == 0 for r in row)
 
 
+@pytest.mark.parametrize("text", ["I", "a", ".", " a", "  a", "a  b", "\n  a", "    ", "x" * 12])
+def test_rare_segmentations_and_runs_of_spaces_are_found(text, vocabulary):
+    """All segmentations, however small their chance, each with its probability."""
+    want = all_segmentations(" " + text, vocabulary)
+    k = len(want) if len(want) < 300 else 2
+    for row in draw([text] * 3, k):
+        assert len({tuple(r[0]) for r in row}) == k
+        assert all(r[1] == pytest.approx(math.log(want[tuple(r[0])]), abs=1e-3) for r in row)
+
+
+def test_pieces_reach_over_long_runs(vocabulary):
+    """No cut within a unit: a run's log probability is its pieces' cost less the sum over the whole lattice."""
+    for text in ["x" * 300, "ab" * 700, " " * 900 + "end", "=" * 513]:
+        whole, cost = " " + text, {t.decode(): n for n, t in enumerate(vocabulary.text) if t and vocabulary.byte[t[0]] != n}
+        costs, most = {}, max(map(len, cost))
+        for piece in {whole[i:j] for i in range(len(whole)) for j in range(i + 1, min(len(whole), i + most) + 1)} & set(cost):
+            node = 0
+            for char in piece:
+                node = int(vocabulary.children(np.array([node], np.int32), np.array([ord(char)], np.int32))[0])
+            costs[piece] = float(vocabulary.cost[node])
+        total = [0.0] + [-math.inf] * len(whole)
+        for j in range(1, len(whole) + 1):
+            total[j] = np.logaddexp.reduce([total[i] + costs[whole[i:j]] for i in range(max(0, j - most), j) if whole[i:j] in costs])
+        for ids, log_p, _ in draw([text], 3)[0]:
+            assert log_p == pytest.approx(sum(costs[vocabulary.text[i].decode()] for i in ids) - total[-1], abs=1e-2)
+    assert len(pieces.units_of("x" * 9000)) == 1
+
+
+def test_no_piece_crosses_the_beginning_of_a_unit(vocabulary):
+    for n, piece in enumerate(vocabulary.text):
+        if piece and vocabulary.byte[piece[0]] != n:
+            assert b"\n" not in piece and b" " not in piece.lstrip(b" ")
+
+
 def test_round_trip_of_odd_texts(vocabulary):
     texts = [t for _, t in odd_texts()] + ["a  b\n\nc \n d", "\n", " ", "▁", "ab" * 1000 + " " + "ç" * 700]
     for text, row in zip(texts, draw(texts, 3)):
