@@ -63,6 +63,30 @@ def test_noise_is_rejected_and_prose_kept(spark):
     assert not any(rows[i].base_failed for i, _ in noise)
 
 
+def test_noise_in_another_script_is_rejected(spark):
+    rng = random.Random(5)
+    greek = lambda text: "".join(chr(0x3B1 + ord(c) - 97) if "a" <= c <= "z" else c for c in text)
+    prose = [(n, greek(sentence(rng, 120))) for n in range(1, 300, 2)]
+    noise = [(1001 + 2 * n, " ".join("".join(rng.choice("βψωζχ") for _ in range(6)) for _ in range(120))) for n in range(3)]
+    rows = {r.id: r for r in perplexity.filtered(docs(spark, prose + noise)).collect()}
+    assert np.mean([rows[i].kept for i, _ in prose]) > 0.97 and not any(rows[i].kept for i, _ in noise)
+
+
+def test_bands_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab") * 2, rng.gauss(2, 0.3), rng.randrange(100, 9000), 60, 0) for _ in range(500)] + [("bb", 90.0, 10, 3, 0), ("c", 1.0, 50, 2, 0)]
+    found = {r.lang: r for r in perplexity.bands(spark.createDataFrame(
+        rows, "lang string, log_perplexity double, n_units long, n_words long, n_repeat_words long")).collect()}
+    assert set(found) == {"aa", "bb"}  # no document of "c" passes the base rules
+    for lang in found:
+        value, size = (np.array([r[c] for r in rows if r[0] == lang and r[3] >= 50]) for c in (1, 2))
+        off = np.abs(value - np.median(value))
+        long = size >= np.median(size)
+        assert abs(found[lang].middle - np.median(value)) < 5e-3
+        assert abs(found[lang].own / (1.4826 * np.median(off * np.sqrt(size))) - 1) < 5e-2
+        assert abs(found[lang].between / (1.4826 * np.median(off[long])) - 1) < 5e-2
+
+
 def test_odd_rows(spark):
     rows = perplexity.filtered(docs(spark, odd_texts())).collect()
     assert len(rows) == len(odd_texts()) and all(r.base_failed for r in rows if r.n_words < 50)
@@ -75,3 +99,12 @@ def test_whole_table(spark, sf_dir):
     good = found.merge(labels[labels.quality == 1])
     assert good[~good.base_failed].kept.mean() > 0.97
     assert not (found.kept & found.base_failed).any()
+
+
+def test_most_poor_texts_leave_the_band(spark, sf_dir):
+    """On the larger table: the smallest has only six poor texts that pass the base rules."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas()
+    found = queries.perplexity_rules(spark, sf_dir).toPandas().merge(labels)
+    found = found[~found.base_failed]
+    assert found[found.quality == 0].kept.mean() < 0.5 and found[found.quality == 1].kept.mean() > 0.97
