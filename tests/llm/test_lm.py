@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -48,11 +49,15 @@ def slow_score(model, ids):
     return total / math.log(10)
 
 
+def shards(table, n_bytes=1):
+    return lm.sample(table.select(F.col("doc_id").alias("id"), "text"), table.count(), n_bytes, lm.VOCABULARY)
+
+
 @pytest.fixture
 def model(spark, monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 30)
-    sample = [t for _, t in odd_texts() if t]
-    return lm.fit(sample, lm.word_counts(docs(spark, odd_texts())), lm.VOCABULARY)
+    table = docs(spark, odd_texts())
+    return lm.fit(shards(table), lm.word_counts(table), len(odd_texts()), lm.VOCABULARY)
 
 
 def test_batched_windows_equal_single_positions(model):
@@ -118,15 +123,44 @@ def test_few_pairs_have_a_share_of_their_own(spark, monkeypatch):
     assert len(codes) < 20 and dict(zip(codes.tolist(), counts.tolist())) == {c: n for c, n in every.items() if n * 20 > sum(every.values())}
 
 
-def test_training_lowers_the_loss(spark, monkeypatch):
-    sample = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
-    words = lm.word_counts(spark.createDataFrame([(t,) for t in sample], "text string"))
-    ids, starts = lm.subwords(lm.VOCABULARY).sequences([lm.words_of(t) for t in sample])
-    scores = []
-    for steps in (1, 200):
-        monkeypatch.setattr(lm, "STEPS", steps)
-        scores.append(lm.fit(sample, words, lm.VOCABULARY).log10(ids, starts).sum() / len(ids))
-    assert scores[1] > scores[0] + 0.1
+@pytest.mark.parametrize("n_bytes", [1, 3 * lm.SHARD_BYTES])
+def test_training_lowers_the_loss(spark, monkeypatch, n_bytes):
+    """In one shard, and averaged over three."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    rows = [lm.words_of(r.text) for r in table.select("text").collect()]
+    ids, starts = lm.subwords(lm.VOCABULARY).sequences(rows)
+    dealt, words = shards(table, n_bytes), lm.word_counts(table)
+    assert dealt.rdd.getNumPartitions() == (1 if n_bytes == 1 else 3)
+    monkeypatch.setattr(lm, "STEPS", 200)
+    model = lm.fit(dealt, words, len(rows), lm.VOCABULARY)
+    untrained = replace(model, parameters=lm._views(lm._start())[0])
+    assert model.log10(ids, starts).sum() > untrained.log10(ids, starts).sum() + 0.1 * len(ids)
+
+
+def test_training_documents_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_DOCS", 10)
+    table = spark.range(8000).select("id", F.concat(F.lit("a few words and number "), "id").alias("text"))
+    for n in (2000, 8000):
+        part = table.filter(F.col("id") < n)
+        assert 0.7 < lm.sample(part, n, 50 * n, lm.VOCABULARY).count() * 32 / n < 1.3
+    few = table.filter("id < 40")
+    assert 3 <= lm.sample(few, 40, 2000, lm.VOCABULARY).count() <= 20
+
+
+def test_neighbour_counts_equal_brute_force(spark):
+    table = docs(spark, odd_texts())
+    counts = np.bincount(np.concatenate([np.array(r.ids) for r in shards(table).collect()]), minlength=lm.subwords(lm.VOCABULARY).size)
+    often, marks = lm._frequent(counts)
+    found, want = lm.neighbour_counts(shards(table), counts), Counter()
+    for r in shards(table).collect():
+        padded = [counts.size - 1, *r.ids]
+        for a, b in zip(padded, padded[1:]):
+            want[b, a, 0] += 1
+            want[a, b, 1] += 1
+    inner = [m for m in range(len(marks)) if marks[m] != counts.size - 1]  # the start of a row may follow that of another
+    for i, o in enumerate(often):
+        assert found[i, inner].tolist() == [want[o, marks[m], 0] for m in inner]
+        assert found[i, [len(marks) + m for m in inner]].tolist() == [want[o, marks[m], 1] for m in inner]
 
 
 @pytest.mark.parametrize("frequent", [20, 1 << 20])
