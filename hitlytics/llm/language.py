@@ -8,6 +8,7 @@ the least one as long as that does not cost more than it saves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from hitlytics.llm import texts
 
 BUCKETS = 1 << 16
-#: Languages learned, those with the most trigrams; with BUCKETS this bounds the model.
-MAX_LANGUAGES = 200
+#: Languages whose counts a counting task gathers before it passes them on.
+GATHERED = 200
 SMOOTHING = 0.5
 FIRST_STEPS, NEXT_STEPS = 12, 6
 #: Trigrams overlap: so many count as one independent draw.
@@ -60,7 +61,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         bucket, starts = trigrams(batch.column(1))
         row = np.repeat(np.arange(len(langs)), np.diff(starts))
         for lang in set(langs):
-            if lang not in counts and len(counts) >= MAX_LANGUAGES:  # bounds the task's memory; sums are added up later
+            if lang not in counts and len(counts) >= GATHERED:  # bounds the task's memory; sums are added up later
                 yield from rows()
                 counts.clear()
             found = np.bincount(bucket[(langs == lang)[row]], minlength=BUCKETS)
@@ -68,20 +69,45 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from rows()
 
 
-def learn(docs: DataFrame, lang_column: str = "lang", text_column: str = "text") -> tuple[list[str], np.ndarray]:
-    """Language names and their trigram probabilities (BUCKETS x languages) from all rows with a language.
+@dataclass(frozen=True)
+class Languages:
+    """What was learned, by bucket: languages and probabilities of bucket b lie from starts[b] to starts[b + 1].
+
+    Its size follows the different pairs of bucket and language, whatever the number of documents.
+    """
+
+    names: list[str]
+    starts: np.ndarray
+    lang: np.ndarray
+    probability: np.ndarray
+    #: By language, the probability of a trigram that it never had.
+    unseen: np.ndarray
+
+    def likely(self, buckets: np.ndarray) -> np.ndarray:
+        """Probability of each bucket in each language."""
+        out = np.tile(self.unseen, (len(buckets), 1))
+        size = self.starts[buckets + 1] - self.starts[buckets]
+        at = np.repeat(self.starts[buckets] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        out[np.repeat(np.arange(len(buckets)), size), self.lang[at]] = self.probability[at]
+        return out
+
+
+def learn(docs: DataFrame, lang_column: str = "lang", text_column: str = "text") -> Languages:
+    """Trigram probabilities of every language from all rows with a language.
 
     Rows with a null language or text teach nothing; without any, there is no language.
     """
     rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
-    sums = texts.checkpointed(rows.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    langs = sorted(r["lang"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
-    model = np.full((BUCKETS, len(langs)), SMOOTHING)
-    known = sums.filter(F.col("lang").isin(langs)) if langs else sums.limit(0)
-    found = known.toPandas()
-    model[found["bucket"].to_numpy(int), np.array([langs.index(x) for x in found["lang"]], int)] += found["n"].to_numpy(float)
-    return langs, (model / model.sum(0)).astype(np.float32) if langs else model
+    # As many rows as there are different pairs of language and bucket.
+    found = rows.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    names, lang = np.unique(found["lang"].to_numpy(object), return_inverse=True)
+    bucket, n = found["bucket"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+    order = np.lexsort((lang, bucket))
+    bucket, lang, n = bucket[order], lang[order], n[order]
+    total = np.bincount(lang, n, len(names)) + SMOOTHING * BUCKETS
+    return Languages(names.tolist(), np.searchsorted(bucket, np.arange(BUCKETS + 1)), lang.astype(np.int32),
+                     ((n + SMOOTHING) / total[lang]).astype(np.float32), (SMOOTHING / total).astype(np.float32))
 
 
 def _fit(counts: np.ndarray, likely: np.ndarray, shares: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
@@ -92,11 +118,20 @@ def _fit(counts: np.ndarray, likely: np.ndarray, shares: np.ndarray, steps: int)
 
 
 def proportions(counts: np.ndarray, likely: np.ndarray) -> np.ndarray:
-    """Shares of the languages: counts of different trigrams, and their probability in each language."""
+    """Shares of the languages: counts of different trigrams, and their probability in each language.
+
+    Languages that account for less than one trigram are dropped together, where that costs less than it saves.
+    """
     chosen = np.arange(likely.shape[1])
     shares, value = _fit(counts, likely, np.full(len(chosen), 1 / len(chosen), np.float32), FIRST_STEPS)
     price = 0.5 * np.log(max(2.0, counts.sum() / OVERLAP))
     while len(chosen) > 1:
+        keep = shares * counts.sum() >= 1
+        if 1 < (~keep).sum() < len(keep):
+            fewer, less = _fit(counts, likely[:, chosen[keep]], shares[keep] / shares[keep].sum(), NEXT_STEPS)
+            if less + price * (~keep).sum() >= value:
+                chosen, shares, value = chosen[keep], fewer, less
+                continue
         keep = np.arange(len(chosen)) != shares.argmin()
         fewer, less = _fit(counts, likely[:, chosen[keep]], shares[keep] / max(shares[keep].sum(), 1e-30), NEXT_STEPS if keep.sum() > 1 else 0)
         if less + price < value:
@@ -107,22 +142,21 @@ def proportions(counts: np.ndarray, likely: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str = "doc_id", text_column: str = "text",
+def identify(docs: DataFrame, model: Languages, id_column: str = "doc_id", text_column: str = "text",
              passed: dict[str, Column] | None = None) -> DataFrame:
     """(id, lang_pred, score, mixture): the main language of each whole text, its share, and all chosen shares.
 
     Null texts and those without a letter, and all texts if nothing was learned, are `und` with score 0. A text whose
     trigrams fit all languages equally well gets the first of them. `passed` adds columns that are carried along.
     """
-    langs, likely = model
-    sent = docs.sparkSession.sparkContext.broadcast(likely)
+    langs, sent = model.names, docs.sparkSession.sparkContext.broadcast(model)
     passed = passed or {}
     types = {n: docs.select(c.alias(n)).schema[n].dataType.simpleString() for n, c in passed.items()}
 
     names_passed = list(passed)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        known = sent.value
         for batch in rows:
             bucket, starts = trigrams(batch.column(1))
             names, scores, mixtures = [], [], []
@@ -130,7 +164,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: st
                 shares = np.zeros(0)
                 if letters and langs:
                     own, counts = np.unique(bucket[starts[n]:starts[n + 1]], return_counts=True)
-                    shares = proportions(counts.astype(np.float32), table[own]) if len(own) else np.full(len(langs), 1 / len(langs))
+                    shares = proportions(counts.astype(np.float32), known.likely(own.astype(np.int64))) if len(own) else np.full(len(langs), 1 / len(langs))
                 best = int(shares.argmax()) if len(shares) else -1
                 names.append(langs[best] if best >= 0 else UNDETERMINED)
                 scores.append(min(1.0, float(shares[best])) if best >= 0 else 0.0)
