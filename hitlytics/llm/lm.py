@@ -6,8 +6,9 @@ over all training documents. A class holds either subwords that begin a word or
 next subwords sum to one. Documents are cut into overlapping windows of CONTEXT + SCORED positions, batched over documents;
 each subword is scored once, with at least CONTEXT positions before it in view.
 
-Training grows with the corpus: a fixed share of all training documents, whole, is dealt to shards of equal size. Tasks train on
-one shard each, all from the same parameters; after every round the shards' parameters are averaged and sent out again.
+The model is trained on all training documents, whole. Texts are split into subwords once, where they are, and kept as packed ids;
+each partition is a shard. A hash deals its documents to the rounds: tasks train on one shard's documents of the round each, all
+from the same parameters, which are averaged after the round and sent out again.
 
 Beside it stands a unigram base over words. Words that make up more than a FREQUENT-th of the training tokens, of which
 there are fewer than FREQUENT, are broadcast as sorted hashes; all others are joined.
@@ -33,9 +34,9 @@ from hitlytics.llm import texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r" ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+"
 
-#: Share of the training documents that the attention model is trained on, and how many it is trained on in small corpora.
+#: Share of the documents in a sample for trials, and how many it holds in small corpora; scores are never learned from one.
 SHARE, LEAST_DOCS = 1 / 32, 1200
-#: Text bytes of a shard, rounds of averaging, tasks that add up the shards' parameters.
+#: Text bytes of a sample's shard, rounds of averaging, tasks that add up the shards' parameters.
 SHARD_BYTES, ROUNDS, ADDERS = 4 << 20, 4, 8
 CLASSES, WIDTH, CONTEXT, SCORED = 32, 16, 8, 16
 #: Subwords with an embedding of their own, the most frequent ones; the others share that of their class.
@@ -46,15 +47,16 @@ CLUSTERED, MARKS = 8192, 128
 OWN_BUCKETS, PRIOR = 128, 5.0
 #: Pairs of subwords within words that have a share of their own: those that make up more than a PAIRS-th of all, fewer than PAIRS.
 PAIRS = 1 << 21
-#: Steps over all rounds of a shard with few windows (others see each window once a round), windows of a step, rate.
+#: Steps over all rounds of a shard with few windows (others see each window once), windows of a step, rate.
 STEPS, BATCH, RATE = 1000, 256, 0.02
 FREQUENT = 1 << 20
 #: Words whose subwords a worker remembers.
 CACHED_WORDS = 500_000
 #: Rows that are split and scored together.
 CHUNK_ROWS = 400
-#: Windows that one attention batch takes: products of this size stay in one thread, as tasks already fill the cores.
-WINDOWS = 64
+#: Windows that one attention batch takes, and rows that enter a product together: those of this size stay in one thread, as tasks
+#: already fill the cores (two threads double the CPU seconds and save no time).
+WINDOWS, BLOCK = 64, 512
 #: Different words that a counting task gathers before it passes them on.
 GATHERED = 1_000_000
 
@@ -242,13 +244,6 @@ def frequent_pairs(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 # The attention model
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
-
-
 @dataclass
 class Attention:
     """Tables by input symbol of queries, keys and values, the bias by distance, and the output layer."""
@@ -310,11 +305,11 @@ class Attention:
             hidden = hidden[..., :-1] / np.maximum(hidden[..., -1:], np.float32(1e-30))
             hidden += np.take(own, asked, axis=0)
             np.maximum(hidden, 0, out=hidden)
-            logits = hidden.reshape(-1, WIDTH) @ self.parameters["u"]
+            logits = _blocks(hidden) @ self.parameters["u"]
             logits += self.parameters["c"]
-            picked = logits[np.arange(len(at)), class_of[at]]
+            picked = logits.reshape(-1, CLASSES)[np.arange(len(at)), class_of[at]]
             np.exp(logits, out=logits)
-            value = (picked - np.log(logits @ ones)[:, 0] + share[at]) * ok
+            value = (picked - np.log(logits @ ones).ravel() + share[at]) * ok
             total += np.bincount(row_of[low:low + WINDOWS], value.reshape(-1, SCORED).sum(1, dtype=np.float64), len(total))
         return total / math.log(10)
 
@@ -358,7 +353,7 @@ def neighbour_counts(encoded: DataFrame, counts: np.ndarray) -> np.ndarray:
 
     def codes(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in rows:
-            ids = np.r_[end, batch.column(1).flatten().to_numpy()]  # every row ends with END, which stands before the next
+            ids = np.r_[end, _ids(batch.column(1), len(counts))[0]]  # every row ends with END, which stands before the next
             for here, there, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], len(marks))):
                 ok = (place[here] >= 0) & (mark[there] >= 0)
                 found, n = np.unique(place[here][ok] * width + mark[there][ok] + shift, return_counts=True)
@@ -423,6 +418,17 @@ def _start() -> np.ndarray:
     return state
 
 
+def _blocks(rows: np.ndarray) -> np.ndarray:
+    """Rows in blocks whose products with a layer stay in one thread."""
+    n = math.prod(rows.shape[:-1])
+    return rows.reshape(-1, BLOCK if n % BLOCK == 0 else 8, rows.shape[-1])
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of the transposed rows of a and the rows of b."""
+    return (_blocks(a).transpose(0, 2, 1) @ _blocks(b)).sum(0)
+
+
 def _train(state: np.ndarray, number: int, steps: int, ids: np.ndarray, starts: np.ndarray, symbol: np.ndarray, class_of: np.ndarray) -> None:
     """One round, of this number, over all windows of a shard, in at least `steps` steps; changes the state."""
     random = np.random.default_rng([7, number, int(ids[:64].sum()), len(ids)])
@@ -430,7 +436,8 @@ def _train(state: np.ndarray, number: int, steps: int, ids: np.ndarray, starts:
     row_of, place = _places(starts)
     inputs = symbol[np.r_[ids[-1:], ids[:-1]]]
     inputs[starts[:-1]] = symbol[-1]  # every row starts with END
-    scale = 1 / math.sqrt(WIDTH)
+    scale = np.float32(1 / math.sqrt(WIDTH))
+    keys, classes = (np.ones((n, 1), np.float32) for n in (CONTEXT + SCORED, CLASSES))
     distance = np.clip(np.arange(SCORED)[:, None] + CONTEXT - np.arange(CONTEXT + SCORED), 0, CONTEXT + SCORED - 1)
     passes = -(-len(place) // BATCH)
     steps = max(steps, passes)
@@ -441,33 +448,41 @@ def _train(state: np.ndarray, number: int, steps: int, ids: np.ndarray, starts:
         pick = order[turn * BATCH:(turn + 1) * BATCH]
         at, ok = _windows(starts, row_of[pick], place[pick])
         x, y, scored = inputs[at], class_of[ids[at[:, CONTEXT:]]], ok[:, CONTEXT:]
-        e = p["e"][x]
-        eq = e[:, CONTEXT:]
-        q, k, v = eq @ p["q"], e @ p["k"], e @ p["v"]
-        mask = (_CAUSAL[None] > 0) & ok[:, None, :]
-        a = _softmax(np.where(mask, q @ k.transpose(0, 2, 1) * scale + p["b"][distance], np.float32(-1e9)))
-        z = a @ v
-        h = np.maximum(z @ p["o"] + eq @ p["s"], 0)
-        probability = _softmax(h @ p["u"] + p["c"])
-        d = probability
-        d[np.arange(len(pick))[:, None], np.arange(SCORED), y] -= 1
-        d *= scored[..., None] / max(1, scored.sum())
-        rows = lambda t: t.reshape(-1, t.shape[-1])
-        summed = lambda a, b: (a.transpose(0, 2, 1) @ b).sum(0)  # noqa: E731  (window by window, in one thread)
-        g = {"u": summed(h, d), "c": rows(d).sum(0)}
-        dh = (d @ p["u"].T) * (h > 0)
-        g["o"], g["s"] = summed(z, dh), summed(eq, dh)
-        dz = dh @ p["o"].T
-        da = dz @ v.transpose(0, 2, 1)
-        da = a * (da - (da * a).sum(-1, keepdims=True))
-        dv = a.transpose(0, 2, 1) @ dz
+        # The products of two parameters are taken first: queries with keys, values with the layer they enter.
+        asks, gives = p["q"] @ p["k"].T * scale, p["v"] @ p["o"]
+        e, eq = np.take(p["e"], x, axis=0), np.take(p["e"], x[:, CONTEXT:], axis=0)
+        both = (_blocks(eq) @ np.hstack([asks, p["s"]])).reshape(len(pick), SCORED, 2 * WIDTH)
+        asked, value = both[..., :WIDTH], (_blocks(e) @ gives).reshape(e.shape)
+        a = asked @ e.transpose(0, 2, 1)
+        a += p["b"][distance]
+        np.clip(a, -60, 60, out=a)
+        np.exp(a, out=a)
+        a *= _CAUSAL
+        a *= ok[:, None, :]
+        a /= np.maximum(a @ keys, np.float32(1e-30))
+        z = a @ value
+        h = np.maximum(z + both[..., WIDTH:], 0)
+        d = _blocks(h) @ p["u"]
+        d += p["c"]
+        np.clip(d, -60, 60, out=d)
+        np.exp(d, out=d)
+        d *= (scored / np.float32(max(1, scored.sum()))).reshape(*d.shape[:-1], 1) / (d @ classes)
+        d.reshape(-1, CLASSES)[np.arange(y.size), y.ravel()] -= scored.ravel() / np.float32(max(1, scored.sum()))
+        g = {"u": _summed(h, d), "c": d.sum((0, 1))}
+        dh = (d @ p["u"].T).reshape(h.shape)
+        dh *= h > 0
+        da = dh @ value.transpose(0, 2, 1)
+        da -= (dh * z).sum(-1, keepdims=True)
+        da *= a
         g["b"] = np.bincount(distance.ravel(), da.sum(0).ravel(), CONTEXT + SCORED).astype(np.float32)
-        dq, dk = da @ k * scale, da.transpose(0, 2, 1) @ q * scale
-        g["q"], g["k"], g["v"] = summed(eq, dq), summed(e, dk), summed(e, dv)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, CONTEXT:] += dq @ p["q"].T + dh @ p["s"].T
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], x.ravel(), rows(de))
+        dvalue, dboth = a.transpose(0, 2, 1) @ dh, np.concatenate([da @ e, dh], -1)
+        dasks, g["s"] = np.hsplit(_summed(eq, dboth), 2)
+        dasks, dgives = dasks * scale, _summed(e, dvalue)
+        g["q"], g["k"], g["v"], g["o"] = dasks @ p["k"], dasks.T @ p["q"], dgives @ p["o"].T, p["v"].T @ dgives
+        de = da.transpose(0, 2, 1) @ asked
+        de += (_blocks(dvalue) @ gives.T).reshape(de.shape)
+        de[:, CONTEXT:] += (_blocks(dboth) @ np.vstack([asks.T, p["s"].T])).reshape(eq.shape)
+        g["e"] = np.bincount((x.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel(), de.ravel(), p["e"].size).astype(np.float32).reshape(p["e"].shape)
         rate = RATE * min(1.0, 2 * (1 - step / (ROUNDS * steps + 1)))
         for n in p:
             first[n] += np.float32(0.1) * (g[n] - first[n])
@@ -475,6 +490,27 @@ def _train(state: np.ndarray, number: int, steps: int, ids: np.ndarray, starts:
             p[n] -= (rate * first[n] / (1 - 0.9 ** step) / (np.sqrt(second[n] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
 
 
+def _packed(ids: np.ndarray, starts: np.ndarray, size: int) -> pa.Array:
+    """The ids of each row as bytes; `size` is the vocabulary's."""
+    kind = _width(size)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * kind.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
+
+
+def _width(size: int) -> np.dtype:
+    return np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+
+
+def _ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, one after another, and where each row starts; the column holds lists or packed ids."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
+    kind, column = _width(size), column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] // kind.itemsize if len(column) else np.zeros(1, np.int64)
+    ids = np.frombuffer(data, kind)[at[0]:at[-1]] if at[-1] > at[0] else np.zeros(0, kind)
+    return ids.astype(np.int32), at - at[0]
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(key, ids) of (key, text) rows; the partitions stay as they are."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,15 +537,23 @@ def _state_row(state: np.ndarray, weight: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([state.tobytes()], pa.binary()), pa.array([weight], pa.int64())], ["state", "n"])
 
 
+def rounds(shards: DataFrame) -> list[DataFrame]:
+    """The rows of each round; a row is in one of them, by its key."""
+    return [shards.filter(F.pmod(F.shiftrightunsigned("key", 32), F.lit(ROUNDS)) == number) for number in range(ROUNDS)]
+
+
 def trained(shards: DataFrame, symbol: np.ndarray, class_of: np.ndarray) -> dict[str, np.ndarray]:
     """Parameters after ROUNDS rounds over (key, ids) rows, of which each partition is a shard; the untrained ones without rows."""
     state, context = _start(), shards.sparkSession.sparkContext
     steps, schema = -(-STEPS // ROUNDS), "state binary, n long"
-    for number in range(ROUNDS):
+    for number, dealt in enumerate(rounds(shards)):
         sent = context.broadcast((state, symbol, class_of))
 
         def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = [(key, ids) for b in rows for key, ids in zip(b.column(0).to_pylist(), (x.values.to_numpy() for x in b.column(1)))]
+            found = []
+            for batch in rows:
+                ids, starts = _ids(batch.column(1), len(class_of))
+                found += zip(batch.column(0).to_pylist(), np.split(ids, starts[1:-1]))
             if found:
                 found.sort(key=lambda row: row[0])  # the same order in every attempt
                 starts = np.r_[0, np.cumsum([len(ids) for _, ids in found])]
@@ -518,9 +562,9 @@ def trained(shards: DataFrame, symbol: np.ndarray, class_of: np.ndarray) -> dict
                 _train(own, number, steps, np.concatenate([ids for _, ids in found]), starts, symbols, classes)
                 yield _state_row(own, int((-(-np.diff(starts) // SCORED)).sum()))
 
-        rows = shards.mapInArrow(batches, schema).repartition(ADDERS).mapInArrow(_average, schema).collect()
+        rows = dealt.mapInArrow(batches, schema).repartition(ADDERS).mapInArrow(_average, schema).collect()
         if not rows:
-            break
+            continue
         weights = [r["n"] for r in rows]
         state = np.average([np.frombuffer(r["state"], np.float32).astype(np.float64) for r in rows], axis=0, weights=weights).astype(np.float32)
     return _views(state)[0]
@@ -564,12 +608,12 @@ def fit(shards: DataFrame, words: DataFrame, n_docs: int, path: str) -> Attentio
     share = _shares(bucket_counts(pairs, bucket_of), class_of)
     codes, counts = frequent_pairs(pairs, coder.size)
     own, left = _pair_shares(codes, counts, share, bucket_of, class_of)
-    return Attention(trained(shards, symbol, class_of), symbol.astype(np.int32), class_of.astype(np.int32), bucket_of.astype(np.int32),
-                     coder.begins, share, codes, own, left)
+    symbol, class_of, bucket_of = (x.astype(np.int32) for x in (symbol, class_of, bucket_of))
+    return Attention(trained(shards, symbol, class_of), symbol, class_of, bucket_of, coder.begins, share, codes, own, left)
 
 
 def sample(docs: DataFrame, n_docs: int, n_bytes: int, path: str) -> DataFrame:
-    """(key, ids) of whole texts, a share of (id, text) rows by hash, dealt to partitions of about SHARD_BYTES.
+    """(key, ids) of whole texts, a share of (id, text) rows by hash, dealt to partitions of about SHARD_BYTES. For trials only.
 
     The share is SHARE, or what gives about LEAST_DOCS documents where that is more; all documents if there are fewer.
     """
@@ -581,17 +625,17 @@ def sample(docs: DataFrame, n_docs: int, n_bytes: int, path: str) -> DataFrame:
 
 # Scores
 
-def _score(docs: DataFrame, model: Attention, frequent: tuple[np.ndarray, np.ndarray], path: str) -> DataFrame:
-    """Per row: scores by the model and by the frequent words, and the other words with their numbers."""
-    sent = docs.sparkSession.sparkContext.broadcast((model, frequent))
-    names = ["id", "held_out", "row", "n_tokens", "n_known", "logs", "score", "words", "times"]
+def _coded(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], path: str) -> DataFrame:
+    """Per row: its packed ids, the base score by the frequent words, and the other words with their numbers."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    names = ["id", "held_out", "row", "key", "n_tokens", "n_known", "logs", "words", "times", "ids"]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attention, (known, counts) = sent.value
+        known, counts = sent.value
         logs = np.log10(counts + 1.0)
         coder = subwords(path)
         for batch in (b.slice(low, CHUNK_ROWS) for b in rows for low in range(0, b.num_rows, CHUNK_ROWS)):
-            _, _, _, row, hashes = _word_hashes(batch.column(3))
+            _, _, _, row, hashes = _word_hashes(batch.column(4))
             n = np.bincount(row, minlength=batch.num_rows)
             at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
             hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
@@ -603,15 +647,26 @@ def _score(docs: DataFrame, model: Attention, frequent: tuple[np.ndarray, np.nda
             first = np.flatnonzero(new)
             times = np.diff(np.r_[first, len(r)])
             offsets = pa.array(np.r_[0, np.cumsum(np.bincount(r[first], minlength=batch.num_rows))].astype(np.int32))
-            ids, starts = coder.sequences([words_of(t) for t in batch.column(3).to_pylist()])
-            score = attention.log10(ids, starts)
+            ids, starts = coder.sequences([words_of(t) for t in batch.column(4).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(n), pa.array(n_known), pa.array(total), pa.array(score),
-                 pa.ListArray.from_arrays(offsets, pa.array(h[first].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
-                names)
+                [*batch.columns[:4], pa.array(n), pa.array(n_known), pa.array(total), pa.ListArray.from_arrays(offsets, pa.array(h[first].view(np.int64))),
+                 pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))), _packed(ids, starts, coder.size)], names)
+
+    return docs.mapInArrow(batches, f"id {texts.kind(docs, 'id')}, held_out boolean, row long, key long, n_tokens long, n_known long, logs double, "
+                                    "words array<long>, times array<int>, ids binary")
+
+
+def _score(coded: DataFrame, model: Attention) -> DataFrame:
+    """(row, score) of (row, ids) rows."""
+    sent = coded.sparkSession.sparkContext.broadcast(model)
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attention = sent.value
+        for batch in (b.slice(low, CHUNK_ROWS) for b in rows for low in range(0, b.num_rows, CHUNK_ROWS)):
+            score = attention.log10(*_ids(batch.column(1), len(attention.class_of)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["row", "score"])
 
-    return docs.mapInArrow(batches, f"id {texts.kind(docs, 'id')}, held_out boolean, row long, n_tokens long, n_known long, logs double, "
-                                    "score double, words array<long>, times array<int>")
+    return coded.select("row", "ids").mapInArrow(batches, "row long, score double")
 
 
 def _hashed(words: DataFrame) -> DataFrame:
@@ -637,22 +692,24 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
                        F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"))
     learned = rows.filter(~F.col("held_out"))
     counts = texts.checkpointed(word_counts(learned, "text"))
-    n_docs, n_bytes = learned.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_docs = learned.count()
     n_words, n_different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all, n_kinds = n_words + n_docs, n_different + (n_docs > 0)
-    model = fit(sample(learned, n_docs, n_bytes, vocabulary), counts, n_docs, vocabulary)
     hashed = _hashed(counts)
     # Fewer than FREQUENT words can each make up more than a FREQUENT-th of all tokens.
     often = hashed.filter(F.col("n") * FREQUENT > n_all).toPandas()
     known, c = often["hash"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(known)
-    scored = texts.checkpointed(_score(rows, model, (known[order], c[order]), vocabulary))
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("hash"), F.col("w.times").alias("times"))
+    keyed = rows.select("id", "held_out", "row", F.xxhash64("id", "text").alias("key"), "text")
+    coded = texts.checkpointed(_coded(keyed, (known[order], c[order]), vocabulary))
+    model = fit(coded.filter(~F.col("held_out")).select("key", "ids"), counts, n_docs, vocabulary)
+    scores = texts.checkpointed(_score(coded, model))
+    rare = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("hash"), F.col("w.times").alias("times"))
     found = rare.join(hashed.filter(F.col("n") * FREQUENT <= n_all), "hash").groupBy("row").agg(
         F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     tokens = F.col("n_tokens") + 1
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + math.log10(n_docs + 1.0)
-    return scored.join(found, "row", "left").select(
+    return coded.drop("words", "times", "ids").join(scores, "row").join(found, "row", "left").select(
         "id", "held_out", tokens.alias("n_tokens"),
         (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + int(n_docs > 0)).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),

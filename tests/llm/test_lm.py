@@ -195,3 +195,34 @@ def test_no_training_rows_and_empty_table(spark, monkeypatch):
     rows = lm.score(table, F.lit(True)).collect()
     assert [(r.n_known, r.train_tokens) for r in rows] == [(0, 0), (0, 0)] and all(r.score < 0 for r in rows)
     assert lm.score(docs(spark, []), F.lit(False)).count() == 0
+
+
+def test_every_training_document_is_counted_and_trained_on(spark, monkeypatch):
+    """Of 3000 documents, more than a sample for trials holds; each is in one round."""
+    monkeypatch.setattr(lm, "STEPS", 2)
+    table = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a few words and number "), "id").alias("text"))
+    fit, seen = lm.fit, []
+    monkeypatch.setattr(lm, "fit", lambda shards, *rest: seen.append(shards) or fit(shards, *rest))
+    held = texts.remainder(F.col("doc_id"), 7) == 2
+    assert lm.score(table, held).count() == 3000
+    want = table.filter(~held).select(F.xxhash64("doc_id", "text").alias("key"))
+    assert sorted(r.key for r in seen[0].collect()) == sorted(r.key for r in want.collect())
+    parts = [part.count() for part in lm.rounds(seen[0])]
+    assert sum(parts) == want.count() and min(parts) > 0.8 * want.count() / lm.ROUNDS
+
+
+def test_packed_ids_are_read_back():
+    rows = [[1, 50256, 7], [], [65535], []]
+    ids, starts = np.concatenate([np.array(r, np.int32) for r in rows]), np.r_[0, np.cumsum([len(r) for r in rows])]
+    for size in (1 << 16, 1 << 17):
+        for low in range(5):
+            found, at = lm._ids(lm._packed(ids, starts, size).slice(low), size)
+            assert found.tolist() == ids[starts[low]:].tolist() and at.tolist() == (starts[low:] - starts[low]).tolist()
+
+
+def test_products_in_blocks_equal_plain_ones():
+    random = np.random.default_rng(3)
+    for n in (3, 64):
+        a, b = random.random((n, lm.SCORED, 5)), random.random((n, lm.SCORED, 4))
+        assert np.allclose(lm._summed(a, b), a.reshape(-1, 5).T @ b.reshape(-1, 4))
+        assert lm._blocks(a).shape[1] <= lm.BLOCK and np.array_equal(lm._blocks(a).reshape(a.shape), a)
