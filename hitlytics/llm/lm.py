@@ -189,12 +189,12 @@ def pair_counts(words: DataFrame, path: str) -> DataFrame:
                 before[(np.cumsum(size) - size)[size > 0]] = coder.size
                 yield before * coder.size + ids, np.repeat(batch.column(1).to_numpy(), size)
 
-        yield from _added_up(pairs())
+        yield from added_up(pairs())
 
     return words.select("word", "n").mapInArrow(batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _added_up(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def added_up(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """(code, n) rows, those of equal codes added up; GATHERED different codes are passed on at a time."""
     gathered: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -223,7 +223,7 @@ def bucket_counts(pairs: DataFrame, bucket_of: np.ndarray) -> np.ndarray:
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = ((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in rows)
-        yield from _added_up((bucket[c // size] * size + c % size, n) for c, n in codes)
+        yield from added_up((bucket[c // size] * size + c % size, n) for c, n in codes)
 
     # At most as many rows as there are buckets times subwords, of which few occur.
     found = pairs.select("code", "n").mapInArrow(batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
@@ -360,7 +360,7 @@ def neighbour_counts(encoded: DataFrame, counts: np.ndarray) -> np.ndarray:
                 yield found, n.astype(np.int64)
 
     # At most CLUSTERED times 2 MARKS rows, of which few occur.
-    found = encoded.mapInArrow(lambda rows: _added_up(codes(rows)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    found = encoded.mapInArrow(lambda rows: added_up(codes(rows)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(often) * width)
     out[found["code"].to_numpy(np.int64)] = found["n"].to_numpy()
     return out.reshape(len(often), width)

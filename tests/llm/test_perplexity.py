@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corpora import docs, odd_texts, sentence
 from hitlytics.llm import perplexity, queries
@@ -108,3 +109,29 @@ def test_most_poor_texts_leave_the_band(spark, sf_dir):
     found = queries.perplexity_rules(spark, sf_dir).toPandas().merge(labels)
     found = found[~found.base_failed]
     assert found[found.quality == 0].kept.mean() < 0.5 and found[found.quality == 1].kept.mean() > 0.97
+
+
+def test_units_tell_all_characters_apart():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) == chr(c).lower() and chr(c) not in perplexity.SIGNS[1:]]
+    found = perplexity.units("".join(map(chr, points)))
+    assert found.max() < perplexity.SYMBOLS
+    single = found[found < perplexity.SINGLE]
+    pairs = found[found >= perplexity.SINGLE].reshape(-1, 2)
+    assert len(np.unique(single)) == len(single) and len(np.unique(pairs, axis=0)) == len(pairs) and len(single) + len(pairs) == len(points)
+    assert not set(pairs[:, 0].tolist()) & set(pairs[:, 1].tolist())
+    # Formerly of one class each: digits, other ASCII, letters eight code points apart, letters beyond two bytes.
+    for a, b in (("1", "2"), ("@", "_"), (" ", "\n"), ("\u00e0", "\u00e8"), ("\u4e00", "\u4e04"), ("\U0001f600", "\U0001f601")):
+        assert perplexity.codes(a).tolist() != perplexity.codes(b).tolist()
+
+
+@pytest.mark.parametrize("frequent", [50, perplexity.FREQUENT])
+def test_log_perplexities_equal_the_model_in_memory(spark, monkeypatch, frequent):
+    """With few frequent n-grams most go through the join."""
+    monkeypatch.setattr(perplexity, "FREQUENT", frequent)
+    rows = [(i, t if t is None else t[:20_000]) for i, t in odd_texts()] + [(9001, "\u65e5\u672c\u8a9e \U0001f600 123 a#b")]
+    found = Counter(c for _, t in rows if t for c in perplexity.codes(t).tolist())
+    model = perplexity.KneserNey(np.array(list(found)), np.array(list(found.values())))
+    table = docs(spark, rows)
+    got = sorted((r.id, round(r.log_perplexity, 5), r.n_units) for r in perplexity.assess(table, perplexity.learn(table)).collect() if r.id is not None)
+    want = sorted((i, round(-model.log_probability(perplexity.codes(t)).mean(), 5), len(perplexity.codes(t))) for i, t in rows if i is not None)
+    assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=2e-5)
