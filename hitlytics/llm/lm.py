@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import base64
 import math
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,8 @@ PAIRS = 1 << 21
 #: Steps over all rounds of a shard with few windows (others see each window once), windows of a step, rate.
 STEPS, BATCH, RATE = 1000, 256, 0.02
 FREQUENT = 1 << 20
-#: Words whose subwords a worker remembers.
-CACHED_WORDS = 500_000
-#: Rows that are split and scored together.
-CHUNK_ROWS = 400
+#: Text bytes that are split together, rows that are scored together.
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 400
 #: Windows that one attention batch takes, and rows that enter a product together: those of this size stay in one thread, as tasks
 #: already fill the cores (two threads double the CPU seconds and save no time).
 WINDOWS, BLOCK = 64, 512
@@ -70,7 +69,7 @@ _IS_SPACE[list(texts.SPACES)] = True
 # Subwords
 
 class Subwords:
-    """Subword ids of words, remembered by word; END is the id of the end and of the start."""
+    """Subword ids of words, of which different ones are split once in a chunk; END is the id of the end and of the start."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -81,42 +80,38 @@ class Subwords:
         self.end, self.size = len(ranks), len(ranks) + 1
         self.begins = np.ones(self.size, bool)
         self.begins[list(ranks.values())] = [piece.startswith(b" ") for piece in ranks]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids, self.first, self.length = array("i"), array("i"), array("i")
-        self._number: dict[bytes, int] = {}
 
     def split(self, word: bytes) -> list[int]:
         return self._encode(" " + word.decode())
 
-    def _add(self, word: bytes) -> int:
-        found = self.split(word)
-        self.first.append(len(self.ids))
-        self.length.append(len(found))
-        self.ids.extend(found)
-        self._number[word] = len(self.first) - 1
-        return len(self.first) - 1
+    def split_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has.
 
-    def sequences(self, rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        Words are split in one call, as no piece crosses the space between two of them; if there is white space beyond ASCII,
+        with which such a space could form a piece, they are split one by one.
+        """
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), " ")[0].as_py()
+        if " ".join(joined.split()) == joined:
+            ids = np.array(self._encode(" " + joined) if len(words) else [], np.int32)
+            return ids, np.diff(np.r_[np.flatnonzero(self.begins[ids]), len(ids)])
+        found = [self._encode(" " + w) for w in joined.split(" ")]
+        return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
+
+    def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows' words, each row closed by END, and where each row starts."""
-        if len(self.first) > CACHED_WORDS:
-            self._clear()
-        get, add = self._number.get, self._add
-        known = [n if (n := get(w)) is not None else add(w) for words in rows for w in words]
-        number, per_row = np.array(known, np.int64), np.array([len(w) for w in rows], np.int64)
-        ids, first, length = (np.array(x, np.int32) for x in (self.ids, self.first, self.length))
-        size = length[number] if len(number) else number
-        word_at = np.r_[0, np.cumsum(size)]
-        row_words = np.r_[0, np.cumsum(per_row)]
-        starts = word_at[row_words] + np.arange(len(rows) + 1)
+        ids, sizes = self.split_all(words.spelled())
+        first, size = (np.cumsum(sizes) - sizes).astype(np.int32)[words.of], sizes.astype(np.int32)[words.of]
+        word_at = np.r_[0, np.cumsum(size)].astype(np.int32)
+        starts = np.r_[0, word_at[np.cumsum(words.per_row)] + np.arange(1, len(words.per_row) + 1)]
         out = np.full(int(starts[-1]), self.end, np.int32)
-        shift = np.repeat(np.arange(len(rows)), per_row)
-        if len(number):
-            source = np.arange(word_at[-1]) + np.repeat(first[number] - word_at[:-1], size)
-            out[np.arange(word_at[-1]) + np.repeat(shift, size)] = ids[source]
+        at = np.arange(word_at[-1], dtype=np.int32)
+        out[at + np.repeat(words.row.astype(np.int32), size)] = ids[at + np.repeat(first - word_at[:-1], size)]
         return out, starts
 
+    def sequences(self, rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of rows of words."""
+        return self.of_words(Words(pa.array([b" ".join(words).decode() for words in rows], pa.string())))
+
 
 @lru_cache(maxsize=2)
 def subwords(path: str) -> Subwords:
@@ -130,34 +125,60 @@ def words_of(text: str | None) -> list[bytes]:
 
 # Counts over the corpus
 
-def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data, offsets = texts.flat(column)
-    data = _LOWER[data]
-    starts, ends, row = texts.word_spans(~_IS_SPACE[data], offsets)
-    hashes = texts.span_hashes(data, starts, ends)
-    hashes[hashes == END_HASH] += np.uint64(1)
-    return data, starts, ends, row, hashes
+class Words:
+    """The lower-cased words of a column of texts: their rows, the different ones' hashes, which of these each one is, counts per row."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = texts.flat(column)
+        self._data = _LOWER[data]
+        self._starts, self._ends, self.row = texts.word_spans(~_IS_SPACE[self._data], offsets)
+        hashes = texts.span_hashes(self._data, self._starts, self._ends)
+        hashes[hashes == END_HASH] += np.uint64(1)
+        self.of, self.different = pd.factorize(hashes)
+        self.per_row = np.bincount(self.row, minlength=len(column))
+
+    def spelled(self) -> pa.Array:
+        """The different words."""
+        first = _firsts(self.of, len(self.different))
+        starts, size = self._starts[first], self._ends[first] - self._starts[first]
+        at = np.r_[0, np.cumsum(size)]
+        data = self._data[np.arange(at[-1]) + np.repeat(starts - at[:-1], size)]
+        return pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
+def _firsts(of: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n values occurs first."""
+    first = np.empty(n, np.int64)
+    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+    return first
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts, but for the first, hold less than CHUNK_BYTES."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(low, high - low) for low, high in zip(cuts, cuts[1:]) if high > low)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Different words with their counts, gathered over batches until there are GATHERED of them."""
-    gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    gathered: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hashes, counts, words = (np.concatenate(p) for p in zip(*gathered))
-        found, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        return found, np.bincount(inverse, counts, len(found)).astype(np.int64), words[first]
+    def merged() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        hashes, counts, words = zip(*gathered)
+        of, different = pd.factorize(np.concatenate(hashes))
+        sums = np.zeros(len(different), np.int64)
+        np.add.at(sums, of, np.concatenate(counts))
+        return different, sums, pa.concat_arrays(words).take(pa.array(_firsts(of, len(different))))
 
     def rows() -> pa.RecordBatch:
         _, counts, words = merged()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts)], ["word", "n"])
+        return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(counts)], ["word", "n"])
 
-    for batch in batches:
-        data, starts, ends, _, hashes = _word_hashes(batch.column(0))
-        found, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-        raw = data.tobytes()
-        words = np.array([raw[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist())], object)
-        gathered.append((found, counts, words))
+    for batch in _chunks(batches, 0):
+        words = Words(batch.column(0))
+        gathered.append((words.different, np.bincount(words.of, minlength=len(words.different)), words.spelled()))
         if sum(len(g[0]) for g in gathered) > GATHERED:
             gathered = [merged()]
             if len(gathered[0][0]) > GATHERED // 2:
@@ -182,10 +203,8 @@ def pair_counts(words: DataFrame, path: str) -> DataFrame:
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in rows:
-                found = [coder.split(w.encode()) for w in batch.column(0).to_pylist()]
-                size = np.array([len(f) for f in found], np.int64)
-                ids = np.array([i for f in found for i in f], np.int64)
-                before = np.r_[ids[-1:], ids[:-1]]
+                ids, size = coder.split_all(batch.column(0))
+                before = np.r_[ids[-1:], ids[:-1]].astype(np.int64)
                 before[(np.cumsum(size) - size)[size > 0]] = coder.size
                 yield before * coder.size + ids, np.repeat(batch.column(1).to_numpy(), size)
 
@@ -266,9 +285,11 @@ class Attention:
         out = self.share[np.where(inner, self.bucket_of[before], len(self.share) - 1), ids]
         if len(self.pairs):
             before, ids = before[inner], ids[inner]
-            code = before.astype(np.int64) * len(self.class_of) + ids
+            of, code = pd.factorize(before.astype(np.int64) * len(self.class_of) + ids)
             at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            out[inner] = np.where(self.pairs[at] == code, self.pair_share[at], out[inner] + self.left[before, self.class_of[ids]])
+            before, ids = np.divmod(code, len(self.class_of))
+            rest = self.share[self.bucket_of[before], ids] + self.left[before, self.class_of[ids]]
+            out[inner] = np.where(self.pairs[at] == code, self.pair_share[at], rest)[of]
         return out
 
     def tables(self) -> tuple[np.ndarray, ...]:
@@ -283,34 +304,35 @@ class Attention:
         """log10 probability of each row of ids given by its start."""
         q, k, v, own = self.tables()
         total = np.zeros(len(starts) - 1)
-        row_of, place = _places(starts)
         before = np.r_[ids[-1:], ids[:-1]]
         before[starts[:-1]] = self.symbol.size - 1  # every row starts with END
-        inputs, class_of = self.symbol[before], self.class_of[ids]
-        share = self.shares(before, ids)
+        row_of, place, spread = _padded(starts)
+        inputs, class_of = spread(self.symbol[before], len(q) - 1), spread(self.class_of[ids], CLASSES)
+        share = spread(self.shares(before, ids), np.float32(0))
         near = np.exp(_bias(self.parameters["b"])) * _CAUSAL
         wide = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() > 60
         ones = np.ones((CLASSES, 1), np.float32)
         for low in range(0, len(place), WINDOWS):
-            windows, seen = _windows(starts, row_of[low:low + WINDOWS], place[low:low + WINDOWS])
-            part = np.where(seen, inputs[windows], len(q) - 1)
-            at, ok = windows[:, CONTEXT:].ravel(), seen[:, CONTEXT:].ravel()
-            asked = part[:, CONTEXT:]
-            weights = np.take(q, asked, axis=0) @ np.take(k, part, axis=0).transpose(0, 2, 1)
+            part = inputs[place[low:low + WINDOWS]]
+            asked = part[:, CONTEXT:].ravel()
+            target = class_of[place[low:low + WINDOWS], CONTEXT:].ravel()
+            weights = np.take(q, asked, axis=0).reshape(len(part), SCORED, WIDTH) @ np.take(k, part, axis=0).transpose(0, 2, 1)
             if wide:
                 np.clip(weights, -60, 60, out=weights)
             np.exp(weights, out=weights)
             weights *= near
-            hidden = weights @ np.take(v, part, axis=0)
-            hidden = hidden[..., :-1] / np.maximum(hidden[..., -1:], np.float32(1e-30))
-            hidden += np.take(own, asked, axis=0)
+            seen = weights @ np.take(v, part, axis=0)
+            hidden = seen[..., :-1] / np.maximum(seen[..., -1:], np.float32(1e-30))
+            hidden += np.take(own, asked, axis=0).reshape(hidden.shape)
             np.maximum(hidden, 0, out=hidden)
             logits = _blocks(hidden) @ self.parameters["u"]
             logits += self.parameters["c"]
-            picked = logits.reshape(-1, CLASSES)[np.arange(len(at)), class_of[at]]
+            picked = np.take(logits, np.arange(0, logits.size, CLASSES) + np.minimum(target, CLASSES - 1))
             np.exp(logits, out=logits)
-            value = (picked - np.log(logits @ ones).ravel() + share[at]) * ok
-            total += np.bincount(row_of[low:low + WINDOWS], value.reshape(-1, SCORED).sum(1, dtype=np.float64), len(total))
+            picked -= np.log(logits @ ones).ravel()
+            picked += share[place[low:low + WINDOWS], CONTEXT:].ravel()
+            picked *= target < CLASSES
+            total += np.bincount(row_of[low:low + WINDOWS], picked.reshape(-1, SCORED).sum(1, dtype=np.float64), len(total))
         return total / math.log(10)
 
 
@@ -322,18 +344,24 @@ def _bias(by_distance: np.ndarray) -> np.ndarray:
     return by_distance[np.clip(distance, 0, CONTEXT + SCORED - 1)]
 
 
-def _places(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row of every window and the first position that it scores."""
+def _padded(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, float], np.ndarray]]:
+    """Row of every window, its number among all windows of padded values, and what pads values and cuts them into these windows.
+
+    Before a row stand CONTEXT positions of padding, behind it as many as fill its last window; the last SCORED of a window are scored.
+    """
     counts = -(-np.diff(starts) // SCORED)
     row_of = np.repeat(np.arange(len(counts)), counts)
-    return row_of, starts[row_of] + (np.arange(len(row_of)) - (np.cumsum(counts) - counts)[row_of]) * SCORED
+    size = counts * SCORED + CONTEXT
+    first = np.cumsum(size) - size
+    place = first[row_of] + (np.arange(len(row_of)) - (np.cumsum(counts) - counts)[row_of]) * SCORED
+    at = np.arange(starts[-1]) + np.repeat(first + CONTEXT - starts[:-1], np.diff(starts))
 
+    def spread(values: np.ndarray, padding: float) -> np.ndarray:
+        out = np.full(max(CONTEXT + SCORED, int(size.sum())), padding, values.dtype)
+        out[at] = values
+        return np.lib.stride_tricks.sliding_window_view(out, CONTEXT + SCORED)
 
-def _windows(starts: np.ndarray, row_of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of some windows, and which of them belong to its row; the last SCORED of a window are scored."""
-    at = place[:, None] + np.arange(-CONTEXT, SCORED)
-    seen = (at >= starts[row_of][:, None]) & (at < starts[row_of + 1][:, None])
-    return np.clip(at, 0, max(0, starts[-1] - 1)), seen
+    return row_of, place, spread
 
 
 def _frequent(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,23 +375,25 @@ def _frequent(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def neighbour_counts(encoded: DataFrame, counts: np.ndarray) -> np.ndarray:
     """How often each clustered subword has each mark before it (first half of the columns) and after it."""
     often, marks = _frequent(counts)
-    end, width = len(counts) - 1, 2 * len(marks)
-    mark, place = np.full(len(counts), -1), np.full(len(counts), -1)
+    end, rows, width = len(counts) - 1, len(often) + 1, len(marks) + 1
+    mark, place = np.full(len(counts), width - 1), np.full(len(counts), rows - 1)  # the last ones take what is not told apart
     mark[marks], place[often] = np.arange(len(marks)), np.arange(len(often))
 
-    def codes(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in rows:
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * rows * width, np.int64)
+        for batch in batches:
             ids = np.r_[end, _ids(batch.column(1), len(counts))[0]]  # every row ends with END, which stands before the next
-            for here, there, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], len(marks))):
-                ok = (place[here] >= 0) & (mark[there] >= 0)
-                found, n = np.unique(place[here][ok] * width + mark[there][ok] + shift, return_counts=True)
-                yield found, n.astype(np.int64)
-
-    # At most CLUSTERED times 2 MARKS rows, of which few occur.
-    found = encoded.mapInArrow(lambda rows: added_up(codes(rows)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(often) * width)
+            here, there = place[ids] * width, mark[ids]
+            total[:rows * width] += np.bincount(here[1:] + there[:-1], minlength=rows * width)
+            total[rows * width:] += np.bincount(here[:-1] + there[1:], minlength=rows * width)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["code", "n"])
+
+    # At most about CLUSTERED times 2 MARKS rows, of which few occur.
+    found = encoded.mapInArrow(codes, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(2 * rows * width)
     out[found["code"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return out.reshape(len(often), width)
+    return np.hstack(out.reshape(2, rows, width)[:, :-1, :-1])
 
 
 def _classes(counts: np.ndarray, neighbours: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -429,65 +459,87 @@ def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (_blocks(a).transpose(0, 2, 1) @ _blocks(b)).sum(0)
 
 
+def _added_rows(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each of n places."""
+    width = rows.shape[1]
+    return np.bincount((place[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).astype(np.float32).reshape(n, width)
+
+
 def _train(state: np.ndarray, number: int, steps: int, ids: np.ndarray, starts: np.ndarray, symbol: np.ndarray, class_of: np.ndarray) -> None:
     """One round, of this number, over all windows of a shard, in at least `steps` steps; changes the state."""
     random = np.random.default_rng([7, number, int(ids[:64].sum()), len(ids)])
-    p, first, second = _views(state)
-    row_of, place = _places(starts)
+    p, (flat, first, second) = _views(state)[0], np.split(state, 3)
+    gradient = np.zeros_like(state)
+    g, gradient = _views(gradient)[0], np.split(gradient, 3)[0]
     inputs = symbol[np.r_[ids[-1:], ids[:-1]]]
     inputs[starts[:-1]] = symbol[-1]  # every row starts with END
+    _, place, spread = _padded(starts)
+    inputs, targets = spread(inputs, -1), spread(class_of[ids], 0)
     scale = np.float32(1 / math.sqrt(WIDTH))
-    keys, classes = (np.ones((n, 1), np.float32) for n in (CONTEXT + SCORED, CLASSES))
+    keys, classes, width = (np.ones((n, 1), np.float32) for n in (CONTEXT + SCORED, CLASSES, WIDTH))
     distance = np.clip(np.arange(SCORED)[:, None] + CONTEXT - np.arange(CONTEXT + SCORED), 0, CONTEXT + SCORED - 1)
+    every = np.ones(BATCH * SCORED, np.float32)
     passes = -(-len(place) // BATCH)
     steps = max(steps, passes)
     for step in range(number * steps + 1, (number + 1) * steps + 1):
         turn = (step - 1) % passes
         if turn == 0 or step == number * steps + 1:
             order = random.permutation(len(place))
-        pick = order[turn * BATCH:(turn + 1) * BATCH]
-        at, ok = _windows(starts, row_of[pick], place[pick])
-        x, y, scored = inputs[at], class_of[ids[at[:, CONTEXT:]]], ok[:, CONTEXT:]
+        pick = place[order[turn * BATCH:(turn + 1) * BATCH]]
+        x, y = inputs[pick], targets[pick, CONTEXT:].ravel()
+        ok = x >= 0
+        np.maximum(x, 0, out=x)
+        n = len(pick)
+        weight = (ok[:, CONTEXT:] / np.float32(max(1, np.count_nonzero(ok[:, CONTEXT:])))).reshape(-1, 1)
         # The products of two parameters are taken first: queries with keys, values with the layer they enter.
         asks, gives = p["q"] @ p["k"].T * scale, p["v"] @ p["o"]
-        e, eq = np.take(p["e"], x, axis=0), np.take(p["e"], x[:, CONTEXT:], axis=0)
-        both = (_blocks(eq) @ np.hstack([asks, p["s"]])).reshape(len(pick), SCORED, 2 * WIDTH)
-        asked, value = both[..., :WIDTH], (_blocks(e) @ gives).reshape(e.shape)
+        e = np.take(p["e"], x, axis=0)
+        eq = np.ascontiguousarray(e[:, CONTEXT:])
+        both = (_blocks(eq) @ np.hstack([asks, p["s"]])).reshape(n, SCORED, 2 * WIDTH)
+        asked = both[..., :WIDTH]
         a = asked @ e.transpose(0, 2, 1)
         a += p["b"][distance]
         np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
         a *= _CAUSAL
         a *= ok[:, None, :]
-        a /= np.maximum(a @ keys, np.float32(1e-30))
-        z = a @ value
-        h = np.maximum(z + both[..., WIDTH:], 0)
-        d = _blocks(h) @ p["u"]
+        a /= np.maximum(_blocks(a) @ keys, np.float32(1e-30)).reshape(n, SCORED, 1)
+        seen = a @ e
+        h = (_blocks(seen) @ gives).reshape(seen.shape)
+        h += both[..., WIDTH:]
+        np.maximum(h, 0, out=h)
+        d = (_blocks(h) @ p["u"]).reshape(-1, CLASSES)
         d += p["c"]
         np.clip(d, -60, 60, out=d)
         np.exp(d, out=d)
-        d *= (scored / np.float32(max(1, scored.sum()))).reshape(*d.shape[:-1], 1) / (d @ classes)
-        d.reshape(-1, CLASSES)[np.arange(y.size), y.ravel()] -= scored.ravel() / np.float32(max(1, scored.sum()))
-        g = {"u": _summed(h, d), "c": d.sum((0, 1))}
-        dh = (d @ p["u"].T).reshape(h.shape)
+        d *= weight / (_blocks(d) @ classes).reshape(-1, 1)
+        d.ravel()[np.arange(0, d.size, CLASSES) + y] -= weight.ravel()
+        g["u"][:], g["c"][:] = _summed(h, d), every[:len(d)] @ d
+        dboth = np.empty_like(both)
+        dh = (_blocks(d) @ p["u"].T).reshape(h.shape)
         dh *= h > 0
-        da = dh @ value.transpose(0, 2, 1)
-        da -= (dh * z).sum(-1, keepdims=True)
+        back = (_blocks(dh) @ gives.T).reshape(h.shape)
+        da = back @ e.transpose(0, 2, 1)
+        da -= (_blocks(back * seen) @ width).reshape(n, SCORED, 1)
         da *= a
-        g["b"] = np.bincount(distance.ravel(), da.sum(0).ravel(), CONTEXT + SCORED).astype(np.float32)
-        dvalue, dboth = a.transpose(0, 2, 1) @ dh, np.concatenate([da @ e, dh], -1)
-        dasks, g["s"] = np.hsplit(_summed(eq, dboth), 2)
-        dasks, dgives = dasks * scale, _summed(e, dvalue)
-        g["q"], g["k"], g["v"], g["o"] = dasks @ p["k"], dasks.T @ p["q"], dgives @ p["o"].T, p["v"].T @ dgives
+        g["b"][:] = np.bincount(distance.ravel(), da.sum(0).ravel(), CONTEXT + SCORED)
+        np.matmul(da, e, out=dboth[..., :WIDTH])
+        dboth[..., WIDTH:] = dh
+        dasks, g["s"][:] = np.hsplit(_summed(eq, dboth), 2)
+        dasks, dgives = dasks * scale, _summed(seen, dh)
+        g["q"][:], g["k"][:], g["v"][:], g["o"][:] = dasks @ p["k"], dasks.T @ p["q"], dgives @ p["o"].T, p["v"].T @ dgives
         de = da.transpose(0, 2, 1) @ asked
-        de += (_blocks(dvalue) @ gives.T).reshape(de.shape)
+        de += a.transpose(0, 2, 1) @ back
         de[:, CONTEXT:] += (_blocks(dboth) @ np.vstack([asks.T, p["s"].T])).reshape(eq.shape)
-        g["e"] = np.bincount((x.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel(), de.ravel(), p["e"].size).astype(np.float32).reshape(p["e"].shape)
+        g["e"][:] = _added_rows(x.ravel(), de.reshape(-1, WIDTH), len(p["e"]))
         rate = RATE * min(1.0, 2 * (1 - step / (ROUNDS * steps + 1)))
-        for n in p:
-            first[n] += np.float32(0.1) * (g[n] - first[n])
-            second[n] += np.float32(0.01) * (g[n] ** 2 - second[n])
-            p[n] -= (rate * first[n] / (1 - 0.9 ** step) / (np.sqrt(second[n] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+        first += np.float32(0.1) * (gradient - first)
+        second += np.float32(0.01) * (gradient * gradient - second)
+        change = np.sqrt(second * np.float32(1 / (1 - 0.99 ** step)))
+        change += np.float32(1e-8)
+        np.divide(first, change, out=change)
+        change *= np.float32(rate / (1 - 0.9 ** step))
+        flat -= change
 
 
 def _packed(ids: np.ndarray, starts: np.ndarray, size: int) -> pa.Array:
@@ -515,8 +567,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(key, ids) of (key, text) rows; the partitions stay as they are."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = subwords(path)
-        for batch in (b.slice(low, CHUNK_ROWS) for b in rows for low in range(0, b.num_rows, CHUNK_ROWS)):
-            ids, starts = coder.sequences([words_of(t) for t in batch.column(1).to_pylist()])
+        for batch in _chunks(rows, 1):
+            ids, starts = coder.of_words(Words(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))], ["key", "ids"])
 
     return docs.select("key", "text").mapInArrow(batches, "key long, ids array<int>")
@@ -634,22 +686,21 @@ def _coded(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], path: str)
         known, counts = sent.value
         logs = np.log10(counts + 1.0)
         coder = subwords(path)
-        for batch in (b.slice(low, CHUNK_ROWS) for b in rows for low in range(0, b.num_rows, CHUNK_ROWS)):
-            _, _, _, row, hashes = _word_hashes(batch.column(4))
-            n = np.bincount(row, minlength=batch.num_rows)
-            at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-            hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-            total = np.bincount(row[hit], logs[at[hit]], batch.num_rows).astype(np.float64)  # whole numbers if there are none
-            n_known = np.bincount(row[hit], minlength=batch.num_rows)
-            rest = np.lexsort((hashes[~hit], row[~hit]))
-            r, h = row[~hit][rest], hashes[~hit][rest]
-            new = np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])] if len(r) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            times = np.diff(np.r_[first, len(r)])
-            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(r[first], minlength=batch.num_rows))].astype(np.int32))
-            ids, starts = coder.sequences([words_of(t) for t in batch.column(4).to_pylist()])
+        for batch in _chunks(rows, 4):
+            words = Words(batch.column(4))
+            at = np.minimum(np.searchsorted(known, words.different), max(0, len(known) - 1))
+            hit = known[at] == words.different if len(known) else np.zeros(len(words.different), bool)
+            log = np.where(hit, logs[at], 0.0) if len(known) else np.zeros(len(hit))
+            total = np.bincount(words.row, log[words.of], batch.num_rows).astype(np.float64)  # whole numbers if there are none
+            often = hit[words.of]
+            n_known = np.bincount(words.row[often], minlength=batch.num_rows)
+            rest, times = np.unique(words.row[~often] * len(hit) + words.of[~often], return_counts=True)
+            row, which = np.divmod(rest, max(1, len(hit)))
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=batch.num_rows))].astype(np.int32))
+            ids, starts = coder.of_words(words)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(n), pa.array(n_known), pa.array(total), pa.ListArray.from_arrays(offsets, pa.array(h[first].view(np.int64))),
+                [*batch.columns[:4], pa.array(words.per_row), pa.array(n_known), pa.array(total),
+                 pa.ListArray.from_arrays(offsets, pa.array(words.different[which].view(np.int64))),
                  pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))), _packed(ids, starts, coder.size)], names)
 
     return docs.mapInArrow(batches, f"id {texts.kind(docs, 'id')}, held_out boolean, row long, key long, n_tokens long, n_known long, logs double, "

@@ -3,6 +3,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpora import docs, key, odd_texts
@@ -226,3 +227,30 @@ def test_products_in_blocks_equal_plain_ones():
         a, b = random.random((n, lm.SCORED, 5)), random.random((n, lm.SCORED, 4))
         assert np.allclose(lm._summed(a, b), a.reshape(-1, 5).T @ b.reshape(-1, 4))
         assert lm._blocks(a).shape[1] <= lm.BLOCK and np.array_equal(lm._blocks(a).reshape(a.shape), a)
+
+
+@pytest.mark.parametrize("odd", [[], ["a ", "　b", "c\x1cd", " ", "e\u0085"]])
+def test_words_split_together_equal_words_split_alone(odd):
+    coder, words = lm.subwords(lm.VOCABULARY), ["house", "über", *odd, "日本,", "12%%", "don't", "x" * 3000]
+    ids, sizes = coder.split_all(pa.array(words))
+    assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == [coder.split(w.encode()) for w in words]
+    assert [len(x) for x in coder.split_all(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_different_words_of_a_chunk_are_split_in_one_call(monkeypatch):
+    coder, calls = lm.subwords(lm.VOCABULARY), []
+    encode = coder._encode
+    monkeypatch.setattr(coder, "_encode", lambda text: calls.append(text) or encode(text))
+    rows = ["The cat, the cat", None, "", "the DOG cat,"]
+    ids, starts = coder.of_words(lm.Words(pa.array(rows)))
+    assert len(calls) == 1 and sorted(calls[0].split()) == ["cat", "cat,", "dog", "the"]
+    want = [[i for w in lm.words_of(t) for i in coder.split(w)] + [coder.end] for t in rows]
+    assert [part.tolist() for part in np.split(ids, starts[1:-1])] == want
+
+
+def test_chunks_hold_every_row_once_and_few_bytes(monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 10)
+    rows = ["12345678901234567890", None, "1234", "1234", "1234", "", "123456789", "1"]
+    found = [c.column(0).to_pylist() for c in lm._chunks(iter([pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])]), 0)]
+    assert [t for c in found for t in c] == rows and all(sum(len(t or "") for t in c[1:]) < 10 for c in found)
+    assert list(lm._chunks(iter([pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"])]), 0)) == []
