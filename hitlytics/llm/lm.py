@@ -87,15 +87,22 @@ class Subwords:
     def split_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and how many each has.
 
-        Words are split in one call, as no piece crosses the space between two of them; if there is white space beyond ASCII,
-        with which such a space could form a piece, they are split one by one.
+        Words are split in one call, as no piece crosses the space between two of them; those that hold white space beyond ASCII,
+        with which such a space could form a piece, are split by themselves.
         """
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), " ")[0].as_py()
         if " ".join(joined.split()) == joined:
             ids = np.array(self._encode(" " + joined) if len(words) else [], np.int32)
             return ids, np.diff(np.r_[np.flatnonzero(self.begins[ids]), len(ids)])
-        found = [self._encode(" " + w) for w in joined.split(" ")]
-        return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
+        spelled = np.array(joined.split(" "), object)
+        plain = np.array([w.split() == [w] for w in spelled], bool)
+        alone = [self._encode(" " + w) for w in spelled[~plain]]
+        together, of_plain = self.split_all(pa.array(spelled[plain], pa.string()))
+        sizes = np.empty(len(spelled), np.int64)
+        sizes[plain], sizes[~plain] = of_plain, [len(f) for f in alone]
+        ids, mark = np.empty(int(sizes.sum()), np.int32), np.repeat(plain, sizes)
+        ids[mark], ids[~mark] = together, [i for f in alone for i in f]
+        return ids, sizes
 
     def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows' words, each row closed by END, and where each row starts."""

@@ -254,3 +254,13 @@ def test_chunks_hold_every_row_once_and_few_bytes(monkeypatch):
     found = [c.column(0).to_pylist() for c in lm._chunks(iter([pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])]), 0)]
     assert [t for c in found for t in c] == rows and all(sum(len(t or "") for t in c[1:]) < 10 for c in found)
     assert list(lm._chunks(iter([pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"])]), 0)) == []
+
+
+def test_one_odd_word_leaves_the_others_together(monkeypatch):
+    coder, calls = lm.subwords(lm.VOCABULARY), []
+    encode = coder._encode
+    monkeypatch.setattr(coder, "_encode", lambda text: calls.append(text) or encode(text))
+    words = ["cat", "a\u00a0", "dog", "house"]
+    ids, sizes = coder.split_all(pa.array(words))
+    assert sorted(calls) == [" a\u00a0", " cat dog house"]
+    assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == [coder.split(w.encode()) for w in words]
